@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from frameloom.plans import pixel_queries, stat_queries  # noqa: F401
+from frameloom.plans import collection_queries, pixel_queries, stat_queries, text_queries  # noqa: F401
 from frameloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -356,14 +356,15 @@ def hist_roi(spark, folder):
     return exact_histogram(img(spark, folder), region=pixels.clip_region(drag, F.col("w"), F.col("h")))
 
 
-def _smooth_sql(view: str, inside: str = "TRUE") -> str:
-    return f"""WITH s AS {view}, r AS (SELECT seq_id, frame, min(v) AS low, max(v) AS high FROM s GROUP BY 1, 2),
-        c AS (SELECT a.seq_id, a.frame, a.band, list_sort([a.v, b.v, c.v, d.v]) AS q FROM s a
-              JOIN s b ON b.frame = a.frame AND b.band = a.band AND b.y = a.y AND b.x = a.x + 1
-              JOIN s c ON c.frame = a.frame AND c.band = a.band AND c.y = a.y + 1 AND c.x = a.x
-              JOIN s d ON d.frame = a.frame AND d.band = a.band AND d.y = a.y + 1 AND d.x = a.x + 1 WHERE {inside}),
+def _smooth_sql(w: int, c: int, inside: str = "TRUE") -> str:
+    row = w * c
+    return f"""WITH r AS (SELECT label AS seq_id, vec_id AS frame, embedding AS e, list_min(embedding) AS low, list_max(embedding) AS high FROM embeddings),
+        i AS (SELECT *, unnest(range(64)) AS i FROM r),
+        a AS (SELECT *, (i % {c})::INT AS band, (i // {c}) % {w} AS x, i // {row} AS y FROM i),
+        c AS (SELECT seq_id, frame, band, low, high, list_sort([e[i + 1], e[i + 1 + {c}], e[i + 1 + {row}], e[i + 1 + {row + c}]]) AS q
+              FROM a WHERE x < {w - 1} AND y < {64 // row - 1} AND {inside}),
         p AS (SELECT seq_id, frame, band, [round_even(((255::FLOAT * (v - low)) / (high - low))::DOUBLE, 0)::INT FOR v IN q] AS k
-              FROM c JOIN r USING (seq_id, frame) WHERE q[1] < q[2] AND q[2] < q[3] AND q[3] < q[4]),
+              FROM c WHERE q[1] < q[2] AND q[2] < q[3] AND q[3] < q[4]),
         g AS (SELECT *, 2::DOUBLE / (k[3] + k[4] - k[2] - k[1]) AS t FROM p WHERE k[1] < k[2] AND k[2] < k[3] AND k[3] < k[4]),
         j AS (SELECT seq_id, frame, band, k[1] AS bin, t / (k[2] - k[1]) AS jump FROM g
               UNION ALL SELECT seq_id, frame, band, k[2], -t / (k[2] - k[1]) FROM g
@@ -384,19 +385,19 @@ def _rounded(histogram):
     return histogram.withColumn("density", F.round(F.col("density") + F.lit(3.7e-10), 6))
 
 
-@query("hist_smooth", _smooth_sql(IMG4))
+@query("hist_smooth", _smooth_sql(4, 4))
 def hist_smooth(spark, folder):
     return _rounded(smooth_histogram(img4(spark, folder)))
 
 
-@query("hist_smooth_tiled", _smooth_sql(IMG))
+@query("hist_smooth_tiled", _smooth_sql(8, 1))
 def hist_smooth_tiled(spark, folder):
     """Frames cut into 3x3 tiles: inner cells in place, cells on the seams from border samples."""
     blocks = tiles.split_frames(img(spark, folder), edge=3)
     return _rounded(smooth_histogram(blocks, finite_range(blocks)))
 
 
-@query("hist_smooth_roi", _smooth_sql(IMG, "a.x >= 1 AND a.x + 1 < 7 AND a.y >= 2 AND a.y + 1 < 8"))
+@query("hist_smooth_roi", _smooth_sql(8, 1, "x >= 1 AND x + 1 < 7 AND y >= 2 AND y + 1 < 8"))
 def hist_smooth_roi(spark, folder):
     area = F.struct(F.lit(1).alias("x0"), F.lit(2).alias("y0"), F.lit(7).alias("x1"), F.lit(8).alias("y1"))
     return _rounded(smooth_histogram(img(spark, folder), region=area))

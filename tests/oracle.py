@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -15,6 +16,9 @@ TABLES = (
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='oracle-', dir='/tmp')}'")
+    con.execute("SET max_temp_directory_size = '2GB'")
+    con.execute("SET memory_limit = '6GB'")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
@@ -81,8 +85,11 @@ def main() -> None:
         if chosen and name not in chosen:
             continue
         begin = time.time()
+        own = 0.0
         try:
             df = build(spark, folder)
+            df.write.format("noop").mode("overwrite").save()
+            own = time.time() - begin
             if name in sqls:
                 found = differences(df, con, sqls[name])
             else:
@@ -91,7 +98,7 @@ def main() -> None:
             found = [f"{type(problem).__name__}: {str(problem)[:1500]}"]
         spent = time.time() - begin
         bad += bool(found)
-        print(f"{'FAIL' if found else 'ok  '} {name} {spent:.1f}s" + ("" if name in sqls else " (rows only)"), flush=True)
+        print(f"{'FAIL' if found else 'ok  '} {name} spark {own:.1f}s all {spent:.1f}s" + ("" if name in sqls else " (rows only)"), flush=True)
         for line in found:
             print("     ", line[:1500], flush=True)
     print("failures:", bad)
