@@ -85,25 +85,22 @@ def size_text(w, h, c) -> Column:
 def parameter_count(program) -> Column:
     """How many of ``$1, $2, ...`` occur without a gap, at most ten."""
     program = col(program)
-    count = F.lit(0)
-    for n in range(MAX_PARAMETERS, 0, -1):
-        present = F.lit(True)
-        for k in range(1, n + 1):
-            present = present & F.contains(program, F.lit(f"${k}"))
-        count = F.when((count == 0) & present, F.lit(n)).otherwise(count)
-    return count
+    gaps = [F.when(~F.contains(program, F.lit(f"${k}")), F.lit(k - 1)) for k in range(1, MAX_PARAMETERS + 1)]
+    return F.coalesce(*gaps, F.lit(MAX_PARAMETERS))
 
 
 def fill_parameters(program, values: Sequence) -> Column:
     """Put numbers, written with six decimals, in place of ``$1, $2, ...``.
 
     Parameters are filled in order as plain text, so ``$1`` also fills the start of ``$10``.
+    A parameter after a gap is replaced by itself.
     """
     count = parameter_count(program)
     out = col(program)
     for k, value in enumerate(values[:MAX_PARAMETERS], start=1):
+        mark = F.lit(f"${k}")
         text = F.format_string("%.6f", col(value).cast("double"))
-        out = F.when(F.lit(k) <= count, F.replace(out, F.lit(f"${k}"), text)).otherwise(out)
+        out = F.replace(out, mark, F.when(count >= k, text).otherwise(mark))
     return out
 
 

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from frameloom.plans import collection_queries, pixel_queries, stat_queries, text_queries  # noqa: F401
+from frameloom.plans import (  # noqa: F401
+    collection_queries,
+    pixel_queries,
+    source_queries,
+    stat_queries,
+    stream_queries,
+    text_queries,
+)
 from frameloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
