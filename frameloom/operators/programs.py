@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.operators.collections import align, pin, shift
+from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, packed_rows, typed
 
 _FRAME_PAYLOAD = ("w", "h", "c", "pixels")
 
@@ -99,31 +100,26 @@ def run_image_function(
     A failing call becomes an error row and its siblings continue.
     """
     keys = list(keys)
-    fields = {f.name: f.dataType.simpleString() for f in aligned.schema.fields}
-    schema = ", ".join(
-        [*[f"{k} {fields[k]}" for k in keys], "frame bigint, w int, h int, c int, pixels array<float>, status string, error string"]
-    )
-
-    def image(row, k: int) -> np.ndarray:
-        shape = (getattr(row, f"h_{k}"), getattr(row, f"w_{k}"), getattr(row, f"c_{k}"))
-        return np.asarray(getattr(row, f"pixels_{k}"), dtype=np.float32).reshape(shape)
+    numbers = range(1, count + 1)
 
-    def call(row) -> tuple:
+    def call(images: list[np.ndarray]) -> Image:
         try:
-            made = np.asarray(function(*[image(row, k) for k in range(1, count + 1)]), dtype=np.float32)
-            made = made[:, :, None] if made.ndim == 2 else made
-            h, w, c = made.shape
-            return w, h, c, made.reshape(-1), "ok", None
+            made = np.asarray(function(*images), dtype=np.float32)
+            return ok(made[:, :, None] if made.ndim == 2 else made)
         except Exception as problem:  # an error is a value here
-            return None, None, None, None, "error", str(problem)
+            return failed(str(problem))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def produced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Image]]:
+        pixels = [packed_rows(batch.column(f"pixels_{k}")) for k in numbers]
+        shapes = [list(zip(*[batch.column(f"{n}_{k}").to_pylist() for n in ("h", "w", "c")])) for k in numbers]
+        frames = batch.column("frame").to_pylist()
+        for row, frame in enumerate(frames):
+            yield row, frame, call([p[row].reshape(s[row]) for p, s in zip(pixels, shapes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*[getattr(r, k) for k in keys], r.frame, *call(r)) for r in batch.itertuples(index=False)]
-            made = pd.DataFrame(rows, columns=[*keys, "frame", "w", "h", "c", "pixels", "status", "error"])
-            for name in ("w", "h", "c"):
-                made[name] = made[name].astype("Int32")
-            yield made
-
-    wanted = [f"{n}_{k}" for k in range(1, count + 1) for n in _FRAME_PAYLOAD]
-    return aligned.select(*keys, "frame", *wanted).mapInPandas(apply, schema)
+            yield from image_batches(batch, keys, produced(batch))
+
+    wanted = [f"{n}_{k}" for k in numbers for n in _FRAME_PAYLOAD]
+    made = aligned.select(*keys, "frame", *wanted).mapInArrow(run, f"{typed(aligned, keys)}, {IMAGE_SCHEMA}")
+    return made.withColumnRenamed("local_frame", "frame")

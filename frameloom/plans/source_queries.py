@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from frameloom.functions import tone
-from frameloom.functions.text import natural_key
 from frameloom.model import to_samples
-from frameloom.operators.lineage import image_key
 from frameloom.plans.registry import query
 from frameloom.plans.views import DENSE, IMG, IMG4, img, img4, numbered, table
 from frameloom.session import fresh_folder

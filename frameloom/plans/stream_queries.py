@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frameloom.model import packed, to_samples
-from frameloom.operators.histogram import count_bins
 from frameloom.plans.registry import query
 from frameloom.plans.views import IMG, table
 from frameloom.streaming.live import clock_ticks, newest_versions, progressive_histogram, rows_seen, ticks_per_window

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.operators.stats import pixel_bytes
+from frameloom.sources.batches import packed_rows, typed
 from frameloom.sources.codecs import npy_bytes, png_bytes, vpp_bytes
 
 CHUNK_BYTES = 64 * 1024 * 1024
@@ -54,15 +56,16 @@ def array_files(frames: DataFrame, kind: str = "npy", chunk_bytes: int = CHUNK_B
 
 def frame_files(frames: DataFrame, kind: str, dtype: str = "float32") -> DataFrame:
     """One file per whole frame, encoded in place: ``seq_id, frame, content``. No shuffle."""
-    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["content"] = [
-                ENCODERS[kind](np.asarray(p, np.float32).astype(dtype).reshape(1, h, w, c))
-                for p, h, w, c in zip(batch.pixels, batch.h, batch.w, batch.c)
+            sizes = zip(*[batch.column(n).to_numpy() for n in ("h", "w", "c")])
+            files = [
+                ENCODERS[kind](row.astype(dtype).reshape(1, h, w, c))
+                for row, (h, w, c) in zip(packed_rows(batch.column("pixels")), sizes)
             ]
-            yield batch[["seq_id", "frame", "content"]]
+            columns = [batch.column("seq_id"), batch.column("frame"), pa.array(files, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "frame", "content"])
 
-    schema = f"seq_id {types['seq_id']}, frame {types['frame']}, content binary"
-    return frames.select("seq_id", "frame", "w", "h", "c", "pixels").mapInPandas(encode, schema)
+    own = frames.select("seq_id", "frame", "w", "h", "c", "pixels")
+    return own.mapInArrow(encode, f"{typed(frames, ['seq_id', 'frame'])}, content binary")

@@ -12,15 +12,11 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.text import natural_key
 from frameloom.operators.spread import number_rows
+from frameloom.sources.batches import typed
 
 ARCHIVE_SUFFIX = ".zip"  # fixed value
 
 
-def _typed(df: DataFrame, names: Sequence[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"{n} {types[n]}" for n in names)
-
-
 def members(archives: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """Members of each archive with their bytes; folders are skipped, a bad archive is an error row."""
     keys = list(keys)
@@ -40,7 +36,7 @@ def members(archives: DataFrame, keys: Sequence[str], content: str = "content")
                 except (zipfile.BadZipFile, OSError) as problem:
                     yield pd.DataFrame([(*own, None, None, "error", str(problem))], columns=names)
 
-    schema = f"{_typed(archives, keys)}, member string, content binary, status string, error string"
+    schema = f"{typed(archives, keys)}, member string, content binary, status string, error string"
     return archives.select(*keys, content).mapInPandas(run, schema)
 
 

@@ -17,24 +17,14 @@ from pyspark.sql import functions as F
 
 from frameloom.operators.collections import concat
 from frameloom.sources import codecs
+from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, typed
 from frameloom.sources.listing import file_system, list_sources
 from frameloom.sources.sniff import file_format
 
-_FIELDS = ["w", "h", "c", "pixels", "status", "error"]
-_IMAGE = "local_frame bigint, w int, h int, c int, pixels array<float>, status string, error string"
 HEADER_BYTES = 4096
 RANGE_BYTES = 64 * 1024 * 1024
 
 
-def _ok(image: np.ndarray) -> tuple:
-    h, w, c = image.shape
-    return w, h, c, image.reshape(-1).astype(np.float32), "ok", None
-
-
-def _failed(message: str, status: str = "error") -> tuple:
-    return None, None, None, None, status, message
-
-
 def _layout(head: bytes, length: int, kind: str) -> tuple[np.dtype, int, int, int, int, int]:
     """Element type, frames, h, w, c and data offset of an array file."""
     if kind == "vpp":
@@ -43,52 +33,45 @@ def _layout(head: bytes, length: int, kind: str) -> tuple[np.dtype, int, int, in
     return dtype, *codecs.frames_of_shape(shape), offset
 
 
-def _one_frame(data: bytes, dtype: np.dtype, h: int, w: int, c: int, kind: str) -> tuple:
+def _one_frame(data: bytes, dtype: np.dtype, h: int, w: int, c: int, kind: str) -> Image:
     if len(data) != h * w * c * dtype.itemsize:
-        return _failed(f"{kind}: couldn't read frame")
-    return _ok(np.frombuffer(data, dtype).reshape(h, w, c))
+        return failed(f"{kind}: couldn't read frame")
+    return ok(np.frombuffer(data, dtype).reshape(h, w, c))
 
 
-def _images(content: bytes, kind: str) -> Iterator[tuple[int, tuple]]:
+def _images(content: bytes, kind: str) -> Iterator[tuple[int, Image]]:
     """All frames of one file's bytes, or one error."""
     try:
         if kind == "png":
-            yield 0, _ok(codecs.png_array(content))
+            yield 0, ok(codecs.png_array(content))
         elif kind in ("npy", "vpp"):
             dtype, n, h, w, c, offset = _layout(content, len(content), kind)
             size = h * w * c * dtype.itemsize
             for i in range(n):
                 yield i, _one_frame(content[offset + i * size : offset + (i + 1) * size], dtype, h, w, c, kind)
         else:
-            yield 0, _failed(f"unsupported format: {kind}", "unsupported")
+            yield 0, failed(f"unsupported format: {kind}", "unsupported")
     except codecs.DecodeError as problem:
-        yield 0, _failed(str(problem))
-
-
-def _table(rows: list[tuple], keys: Sequence[str]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=[*keys, "local_frame", *_FIELDS])
-    for name in ("w", "h", "c"):
-        made[name] = made[name].astype("Int32")
-    return made
-
-
-def _typed(df: DataFrame, names: Sequence[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"{n} {types[n]}" for n in names)
+        yield 0, failed(str(problem))
 
 
 def decode_content(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """Decode rows of file bytes to frames; the frames of a file count from 0 in ``local_frame``."""
     keys = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def produced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Image]]:
+        for row, (kind, data) in enumerate(zip(batch.column("_kind"), batch.column("_content"))):
+            for frame, image in _images(data.as_py() or b"", kind.as_py()):
+                yield row, frame, image
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                own, kind, data = row[: len(keys)], row[-2], bytes(row[-1] or b"")
-                yield _table([(*own, i, *image) for i, image in _images(data, kind)], keys)
+            yield from image_batches(batch, keys, produced(batch))
 
-    told = files.select(*keys, file_format(content).alias("_kind"), F.col(content).alias("_content"))
-    return told.mapInPandas(run, f"{_typed(files, keys)}, {_IMAGE}")
+    told = files.select(
+        *keys, F.coalesce(file_format(content), F.lit("other")).alias("_kind"), F.col(content).alias("_content")
+    )
+    return told.mapInArrow(run, f"{typed(files, keys)}, {IMAGE_SCHEMA}")
 
 
 def _heads(keys: list[str]):
@@ -135,7 +118,7 @@ def _ranges(keys: list[str], range_bytes: int):
     return run
 
 
-def _read_range(path: str, kind: str, start: int, count: int) -> Iterator[tuple[int, tuple]]:
+def _read_range(path: str, kind: str, start: int, count: int) -> Iterator[tuple[int, Image]]:
     fs, local = file_system(path)
     with fs.open_input_file(local) as source:
         if kind not in ("npy", "vpp"):
@@ -148,19 +131,26 @@ def _read_range(path: str, kind: str, start: int, count: int) -> Iterator[tuple[
             yield i, _one_frame(source.read(size), dtype, h, w, c, kind)
 
 
+def _range_images(path: str, kind: str, start: int, count: int, problem: str | None) -> Iterator[tuple[int, Image]]:
+    if problem is not None:
+        yield 0, failed(problem)
+        return
+    try:
+        yield from _read_range(path, kind, start, count)
+    except OSError as failure:
+        yield start, failed(str(failure))
+
+
 def _read(keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def produced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Image]]:
+        parts = [batch.column(n).to_pylist() for n in ("path", "_kind", "_start", "_count", "_problem")]
+        for row, part in enumerate(zip(*parts)):
+            for frame, image in _range_images(*part):
+                yield row, frame, image
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                own, (path, kind, start, count, problem) = row[: len(keys)], row[len(keys) :]
-                if isinstance(problem, str):
-                    yield _table([(*own, 0, *_failed(problem))], keys)
-                    continue
-                try:
-                    for i, image in _read_range(path, kind, int(start), int(count)):
-                        yield _table([(*own, i, *image)], keys)
-                except OSError as failure:
-                    yield _table([(*own, int(start), *_failed(str(failure)))], keys)
+            yield from image_batches(batch, keys, produced(batch))
 
     return run
 
@@ -169,7 +159,7 @@ def read_files(paths: DataFrame, keys: Sequence[str], range_bytes: int = RANGE_B
     """Decode the files of a path table. Long array files are cut into frame ranges that
     separate tasks read by seeking, so one huge file does not become one task."""
     keys = list(keys)
-    own = _typed(paths, keys)
+    own = typed(paths, keys)
     heads = paths.select(*keys, "path").mapInPandas(
         _heads(keys), f"{own}, path string, _size bigint, _head binary, _problem string"
     )
@@ -177,7 +167,7 @@ def read_files(paths: DataFrame, keys: Sequence[str], range_bytes: int = RANGE_B
     ranges = told.mapInPandas(
         _ranges(keys, range_bytes), f"{own}, path string, _kind string, _start bigint, _count bigint, _problem string"
     )
-    return ranges.repartition("path", "_start").mapInPandas(_read(keys), f"{own}, {_IMAGE}")
+    return ranges.repartition("path", "_start").mapInArrow(_read(keys), f"{own}, {IMAGE_SCHEMA}")
 
 
 def load_sequences(lines: DataFrame, column: str = "expression") -> DataFrame:
