@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 from frameloom.functions.numeric import col
 from frameloom.functions.text import natural_key
 
-# Points of the affine-gap subsequence score.
+# Points of the affine-gap subsequence score. A name that starts with the
+# pattern wins over one that has it after a slash, and that over one after another separator.
 MATCH_POINTS = 16
+START_POINTS = 16
+SLASH_POINTS = 8
+SEPARATOR_POINTS = 7
+CAMEL_POINTS = 6
+RUN_POINTS = 4
 GAP_OPEN = -3
 GAP_EXTEND = -1
-BOUNDARY_POINTS = 8
-CAMEL_POINTS = 7
-RUN_POINTS = 4
-FIRST_LETTER_WEIGHT = 2
 
-_SEPARATORS = frozenset("/\\ _-.:,;|")
+_SLASHES = frozenset("/\\")
+_SEPARATORS = frozenset(" _-.:,;|") | _SLASHES
 
 
 def may_match(text, pattern: str) -> Column:
     """Cheap JVM-side test that the pattern's letters occur in order."""
-    flags = "(?s)" if _case_matters(pattern) else "(?is)"
+    flags = "(?s)" if _case_matters(pattern) else "(?isu)"
     return col(text).rlike(flags + ".*?".join(re.escape(letter) for letter in pattern))
 
 
@@ -34,11 +37,17 @@ def _case_matters(pattern: str) -> bool:
 
 
 def _starting_points(text: str) -> list[int]:
-    """Bonus of each position for standing at the start of a word."""
-    points, before = [], ""
+    """Bonus of each position for standing at the start of the text or of a word."""
+    points, before = [], None
     for letter in text:
-        if before == "" or before in _SEPARATORS:
-            points.append(0 if letter in _SEPARATORS else BOUNDARY_POINTS)
+        if before is None:
+            points.append(START_POINTS)
+        elif letter in _SEPARATORS:
+            points.append(0)
+        elif before in _SLASHES:
+            points.append(SLASH_POINTS)
+        elif before in _SEPARATORS:
+            points.append(SEPARATOR_POINTS)
         elif before.islower() and letter.isupper():
             points.append(CAMEL_POINTS)
         else:
@@ -50,9 +59,9 @@ def _starting_points(text: str) -> list[int]:
 def best_alignment(text: str, pattern: str) -> tuple[int, list[int]] | None:
     """Highest-scoring way to find the pattern's letters in order, or None.
 
-    Each letter earns match points plus its position's bonus (doubled for the first
-    letter); a letter right after the previous one earns at least the run points; skipped
-    characters between letters cost an opening and an extending penalty.
+    Each letter earns match points plus its position's bonus; a letter right after the
+    previous one earns at least the run points; skipped characters between letters cost an
+    opening penalty and an extending one per character.
     """
     if not pattern:
         return 0, []
@@ -71,13 +80,13 @@ def best_alignment(text: str, pattern: str) -> tuple[int, list[int]] | None:
             if gap_score is not None:
                 gap_score += GAP_EXTEND
             if k and i >= 2 and previous[i - 2] is not None:
-                opened = previous[i - 2] + GAP_OPEN
+                opened = previous[i - 2] + GAP_OPEN + GAP_EXTEND
                 if gap_score is None or opened >= gap_score:
                     gap_score, gap_from = opened, i - 2
             if source[i] != letter:
                 continue
             if k == 0:
-                scores[i] = MATCH_POINTS + bonus[i] * FIRST_LETTER_WEIGHT
+                scores[i] = MATCH_POINTS + bonus[i]
                 continue
             options = []
             if i and previous[i - 1] is not None:
