@@ -15,21 +15,33 @@ MAX_PARAMETERS = 10
 OBJECT_STORE_SCHEME = "s3://"
 OBJECT_STORE_READER = "s3a://"
 
+_WIDTH = 20
 _DIGITS_MARK = "\u0001"
 _LEVEL_MARK = "\u0000"
 
 
 def natural_key(text) -> Column:
     """A string whose plain order is the natural order: digit runs compare as numbers and
-    come before any other character. Runs may be of any length; leading zeros do not count."""
-    pieces = F.regexp_extract_all(col(text), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    come before any other character; leading zeros do not count.
+
+    A run becomes a mark and 20 digits. Longer numbers, which are rare, follow all of those:
+    a colon, the number of digits, the digits.
+    """
+    text = col(text)
+    zeros = "0" * _WIDTH
+    padded = F.regexp_replace(text, r"([0-9]+)", f"{_DIGITS_MARK}{zeros}$1")
+    short = F.regexp_replace(padded, f"{_DIGITS_MARK}0*?([0-9]{{{_WIDTH}}})(?![0-9])", f"{_DIGITS_MARK}$1")
 
     def encode(piece: Column) -> Column:
         digits = F.regexp_replace(piece, r"^0+(?=[0-9])", "")
-        number = F.concat(F.lit(_DIGITS_MARK), F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
+        size = F.length(digits)
+        long = F.concat(F.lit(f"{_DIGITS_MARK}:"), F.lpad(size.cast("string"), 9, "0"), digits)
+        number = F.when(size <= _WIDTH, F.concat(F.lit(_DIGITS_MARK), F.lpad(digits, _WIDTH, "0"))).otherwise(long)
         return F.when(piece.rlike(r"^[0-9]"), number).otherwise(piece)
 
-    return F.array_join(F.transform(pieces, encode), "")
+    pieces = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    any_length = F.array_join(F.transform(pieces, encode), "")
+    return F.when(text.rlike(f"[0-9]{{{_WIDTH + 1}}}"), any_length).otherwise(short)
 
 
 def tree_key(path) -> Column:

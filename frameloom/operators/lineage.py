@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.numeric import col
+from frameloom.operators.spread import hot_join
 
 # Key prefixes and the editor numbers used inside edit keys.
 IMAGE_PREFIX = "image:"
@@ -42,8 +43,12 @@ def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def frames_to_redo(uses: DataFrame, changes: DataFrame) -> DataFrame:
-    """Derived frames (``derived_key, source_path``, one row per input) with a changed input."""
-    return uses.join(changes.select(F.col("path").alias("source_path")), "source_path", "left_semi").select("derived_key").distinct()
+    """Derived frames (``derived_key, source_path``, one row per input) with a changed input.
+
+    A pinned source may be an input of very many derived frames.
+    """
+    changed = changes.select(F.col("path").alias("source_path")).distinct()
+    return hot_join(uses, changed, ["source_path"], ["derived_key"]).select("derived_key").distinct()
 
 
 def keep_unchanged(derived: DataFrame, redo: DataFrame) -> DataFrame:

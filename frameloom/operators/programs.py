@@ -38,8 +38,29 @@ def pick_inputs(spec: str, sequences: Sequence[DataFrame]) -> list[DataFrame]:
 
 
 def align_images(inputs: Sequence[DataFrame], keys: Sequence[str] = ("seq_id",)) -> DataFrame:
-    """Aligned whole frames, columns ``w_k, h_k, c_k, pixels_k``."""
-    return align(inputs, _FRAME_PAYLOAD, keys)
+    """Aligned whole frames, columns ``w_k, h_k, c_k, pixels_k``, and ``status_k, error_k`` when
+    every input carries them."""
+    told = all({"status", "error"} <= set(df.columns) for df in inputs)
+    return align(inputs, (*_FRAME_PAYLOAD, "status", "error") if told else _FRAME_PAYLOAD, keys)
+
+
+def failed_edits(aligned: DataFrame, count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """Aligned frames with a failed input, with the error of the first one."""
+    numbers = range(1, count + 1)
+    error = first_error([f"status_{k}" for k in numbers], [f"error_{k}" for k in numbers])
+    return aligned.select(*keys, "frame", error.alias("error")).where(F.col("error").isNotNull())
+
+
+def usable_edits(aligned: DataFrame, count: int) -> DataFrame:
+    """Aligned frames all of whose inputs are good."""
+    for k in range(1, count + 1):
+        aligned = aligned.where(F.col(f"status_{k}") == "ok").drop(f"status_{k}", f"error_{k}")
+    return aligned
+
+
+def first_error(statuses: Sequence[str], errors: Sequence[str]) -> Column:
+    """Error of the first failed input, NULL when all are good."""
+    return F.coalesce(*[F.when(F.col(s) != "ok", F.col(e)) for s, e in zip(statuses, errors)])
 
 
 def run_scalar_program(aligned: DataFrame, program: str, count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.numeric import col
-from frameloom.operators.spread import attach_by_key
+from frameloom.operators.spread import attach_by_key, hot_join
 
 SIDECAR_SUFFIX = ".svg"  # fixed value
 
@@ -20,10 +20,14 @@ def sidecar_name(path) -> Column:
 
 
 def sidecar_by_name(frames: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Frames with the side-car of the same name where one exists (``sidecars`` lists ``sidecar`` paths)."""
+    """Frames with the side-car of the same name where one exists (``sidecars`` lists ``sidecar`` paths).
+
+    All names without a dot share one side-car name, so that name may be hot.
+    """
     named = frames.withColumn("sidecar", sidecar_name("path"))
     listed = sidecars.select("sidecar").distinct().withColumn("has_sidecar", F.lit(True))
-    return named.join(listed, "sidecar", "left").withColumn("has_sidecar", F.coalesce("has_sidecar", F.lit(False)))
+    met = hot_join(named, listed, ["sidecar"], frames.columns, "left")
+    return met.withColumn("has_sidecar", F.coalesce("has_sidecar", F.lit(False)))
 
 
 def sidecar_by_position(frames: DataFrame, sidecars: DataFrame, keys: Sequence[str] = ("seq_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.session import fresh_folder, shared_dir
+from frameloom.session import fresh_folder
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 500_000
@@ -94,22 +94,16 @@ def prefix_sum(
 ) -> DataFrame:
     """Exclusive running sum inside each key, without putting a key in one task.
 
-    Rows are cut into range slabs over (key, order); the slab numbers are fixed by a
-    checkpoint, because range bounds may differ when an exchange is computed twice.
+    Rows are cut into range slabs over (key, order) and written with their slab number,
+    because range bounds may differ when an exchange is computed twice.
     Each slab then needs only the total of the slabs before it (one row per key and
     slab) plus a running sum over its own rows.
     ``order`` must be unique inside a key. With no ``value`` this numbers rows from 0.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    slabs = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slabs = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     weight = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
-    cut = (
-        df.withColumn("_val", weight)
-        .repartitionByRange(slabs, *keys, *order)
-        .withColumn("_slab", F.spark_partition_id())
-        .checkpoint()
-    )
+    ranged = df.withColumn("_val", weight).repartitionByRange(slabs, *keys, *order)
+    cut = settle(ranged.withColumn("_slab", F.spark_partition_id()), "slabs")
     earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy(*keys, "_slab")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.model import packed
-from frameloom.operators.spread import number_rows
+from frameloom.operators.spread import number_rows, settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def numbered(frames: DataFrame) -> DataFrame:
     Only the keys are sorted; the pixels meet their numbers by an equi-join on unique keys.
     """
     keys = frames.select("seq_id", F.col("frame").alias("source"))
-    dense = number_rows(keys, ["seq_id"], ["source"])
+    dense = settle(number_rows(keys, ["seq_id"], ["source"]), "numbers")
     return frames.withColumnRenamed("frame", "source").join(dense, ["seq_id", "source"])
 
 

@@ -14,8 +14,6 @@ from frameloom.functions.text import natural_key
 from frameloom.operators.spread import number_rows
 from frameloom.sources.batches import typed
 
-ARCHIVE_SUFFIX = ".zip"  # fixed value
-
 
 def members(archives: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """Members of each archive with their bytes; folders are skipped, a bad archive is an error row."""

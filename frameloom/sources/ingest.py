@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from frameloom.operators.collections import concat
 from frameloom.sources import codecs
 from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, typed
-from frameloom.sources.listing import file_system, list_sources
+from frameloom.sources.listing import UNREADABLE, list_sources, open_source
 from frameloom.sources.sniff import file_format
 
 HEADER_BYTES = 4096
@@ -82,10 +82,10 @@ def _heads(keys: list[str]):
             rows = []
             for row in batch.itertuples(index=False):
                 try:
-                    fs, local = file_system(row[-1])
-                    with fs.open_input_file(local) as source:
-                        rows.append((*row, source.size(), source.read(HEADER_BYTES), None))
-                except Exception as problem:  # an unreadable path is a value, not a failed job
+                    with open_source(row[-1]) as source:
+                        head = source.read(HEADER_BYTES)
+                        rows.append((*row, source.seek(0, 2), head, None))
+                except UNREADABLE as problem:  # a value, not a failed job
                     rows.append((*row, None, None, str(problem)))
             made = pd.DataFrame(rows, columns=[*keys, "path", "_size", "_head", "_problem"])
             made["_size"] = made["_size"].astype("Int64")
@@ -119,12 +119,11 @@ def _ranges(keys: list[str], range_bytes: int):
 
 
 def _read_range(path: str, kind: str, start: int, count: int) -> Iterator[tuple[int, Image]]:
-    fs, local = file_system(path)
-    with fs.open_input_file(local) as source:
+    with open_source(path) as source:
         if kind not in ("npy", "vpp"):
             yield from _images(source.read(), kind)
             return
-        dtype, _, h, w, c, offset = _layout(source.read(HEADER_BYTES), source.size(), kind)
+        dtype, _, h, w, c, offset = _layout(source.read(HEADER_BYTES), source.seek(0, 2), kind)
         size = h * w * c * dtype.itemsize
         source.seek(offset + start * size)
         for i in range(start, start + count):
@@ -137,7 +136,7 @@ def _range_images(path: str, kind: str, start: int, count: int, problem: str | N
         return
     try:
         yield from _read_range(path, kind, start, count)
-    except OSError as failure:
+    except UNREADABLE as failure:
         yield start, failed(str(failure))
 
 
@@ -239,8 +238,3 @@ def quarantine(frames: DataFrame) -> DataFrame:
     """Rows that failed, with their reason and without pixels."""
     return frames.where(F.col("status") != "ok").drop("w", "h", "c", "pixels")
 
-
-def first_error(statuses: Sequence[str], errors: Sequence[str]):
-    """Error of an edit: that of its first failed input, NULL when all are good."""
-    failed = [F.when(F.col(s) != "ok", F.col(e)) for s, e in zip(statuses, errors)]
-    return F.coalesce(*failed)

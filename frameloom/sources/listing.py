@@ -1,8 +1,9 @@
 """From source expressions to ordered path tables.
 
 Expressions are rows, and every expansion step runs in tasks through the file system
-layer of pyarrow, which reads local, HDFS and object-store paths alike. A directory is
-listed one level first; its sub-directories are then walked by separate tasks.
+layer of pyarrow, which reads local, HDFS and object-store paths alike. The first levels of
+a directory are opened one by one; the sub-directories found there are then walked by
+separate tasks. Members of zip archives are paths of their own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ import fnmatch
 import itertools
 import os
 import re
+import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -21,18 +25,40 @@ from pyspark.sql import functions as F
 from frameloom.functions.text import SEPARATOR, natural_key, readable_path, tree_key
 from frameloom.operators.spread import number_rows
 
+# The archive suffix and what separates an archive's path from a member's name.
+ARCHIVE_SUFFIX = ".zip"
+MEMBER_MARK = "!/"
+SPREAD_LEVELS = 2
+
+# What opening a bad path or archive can raise (pyarrow reports some as ValueError).
+UNREADABLE = (OSError, ValueError, KeyError, zipfile.BadZipFile)
+
+_WILD = re.compile(r"[*?\[]")
 _ENTRY = "line_no bigint, part_no int, root string, path string, kind string, length bigint, modified timestamp"
 _COLUMNS = ["line_no", "part_no", "root", "path", "kind", "length", "modified"]
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system that serves a path, and the path in its own terms."""
+def file_system(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system that serves a path, the path in its own terms, and the scheme part to put back."""
     if "://" not in path:
-        if path.startswith("file:"):
-            path = path[len("file:") :]
-        return pafs.LocalFileSystem(), path
+        return pafs.LocalFileSystem(), path.removeprefix("file:"), ""
+    path = path.rstrip("/")
     uri = "s3://" + path[len("s3a://") :] if path.startswith("s3a://") else path
-    return pafs.FileSystem.from_uri(uri)
+    fs, local = pafs.FileSystem.from_uri(uri)
+    return fs, local, path[: len(path) - len(local)] if path.endswith(local) else ""
+
+
+@contextmanager
+def open_source(path: str) -> Iterator[BinaryIO]:
+    """Open a file, or a member of an archive, for reading and seeking."""
+    outer, _, member = path.partition(MEMBER_MARK)
+    fs, local, _ = file_system(outer)
+    with fs.open_input_file(local) as source:
+        if not member:
+            yield source
+            return
+        with zipfile.ZipFile(source) as archive, archive.open(member) as inside:
+            yield inside
 
 
 def expand_braces(pattern: str) -> list[str]:
@@ -44,15 +70,16 @@ def expand_braces(pattern: str) -> list[str]:
     return list(itertools.chain.from_iterable(expand_braces(head + choice + tail) for choice in inner[1].split(",")))
 
 
-def _entry(info: pafs.FileInfo) -> tuple:
+def _entry(info: pafs.FileInfo, scheme: str) -> tuple:
     kind = {pafs.FileType.File: "file", pafs.FileType.Directory: "dir"}.get(info.type, "missing")
-    return info.path, kind, info.size, info.mtime
+    return scheme + info.path, kind, info.size, info.mtime
 
 
-def _children(fs: pafs.FileSystem, folder: str, deep: bool = False) -> list[tuple]:
+def _children(folder: str, deep: bool = False) -> list[tuple]:
     """Visible entries of a folder; unreadable folders give none."""
+    fs, local, scheme = file_system(folder)
     try:
-        found = [_entry(i) for i in fs.get_file_info(pafs.FileSelector(folder or ".", recursive=False))]
+        found = [_entry(i, scheme) for i in fs.get_file_info(pafs.FileSelector(local or ".", recursive=False))]
     except (OSError, PermissionError):
         return []
     shown = [e for e in found if not os.path.basename(e[0]).startswith(".")]
@@ -61,31 +88,30 @@ def _children(fs: pafs.FileSystem, folder: str, deep: bool = False) -> list[tupl
     files = [e for e in shown if e[1] == "file"]
     for e in shown:
         if e[1] == "dir":
-            files.extend(_children(fs, e[0], deep=True))
+            files.extend(_children(e[0], deep=True))
     return files
 
 
+def _existing(path: str) -> list[tuple]:
+    fs, local, scheme = file_system(path)
+    info = fs.get_file_info(local)
+    return [] if info.type == pafs.FileType.NotFound else [_entry(info, scheme)]
+
+
 def _glob(pattern: str) -> list[tuple]:
     """Entries matching one brace-free pattern, level by level; wildcards skip dot names."""
-    fs, local = file_system(os.path.expanduser(pattern))
-    if not re.search(r"[*?\[]", local):
-        info = fs.get_file_info(local)
-        return [] if info.type == pafs.FileType.NotFound else [_entry(info)]
-    parts = local.split("/")
-    fixed = next(i for i, part in enumerate(parts) if re.search(r"[*?\[]", part))
-    found = [("/".join(parts[:fixed]) or ("/" if local.startswith("/") else ""), "dir", None, None)]
+    pattern = os.path.expanduser(pattern)
+    if not _WILD.search(pattern):
+        return _existing(pattern)
+    parts = pattern.split("/")
+    fixed = next(i for i, part in enumerate(parts) if _WILD.search(part))
+    found = [("/".join(parts[:fixed]) or ("/" if pattern.startswith("/") else ""), "dir", None, None)]
     for part in parts[fixed:]:
-        reached = []
-        for folder, kind, _, _ in found:
-            if kind != "dir":
-                continue
-            if re.search(r"[*?\[]", part):
-                reached.extend(e for e in _children(fs, folder) if fnmatch.fnmatchcase(os.path.basename(e[0]), part))
-            else:
-                info = fs.get_file_info(f"{folder}/{part}")
-                if info.type != pafs.FileType.NotFound:
-                    reached.append(_entry(info))
-        found = reached
+        folders = [e[0] for e in found if e[1] == "dir"]
+        if _WILD.search(part):
+            found = [e for f in folders for e in _children(f) if fnmatch.fnmatchcase(os.path.basename(e[0]), part)]
+        else:
+            found = [e for f in folders for e in _existing(f"{f}/{part}")]
     return found
 
 
@@ -103,16 +129,30 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _open_folders(deep: bool):
+    """Replace folders by their content: one level, or all of it."""
+
+    def content(path: str, kind: str, size, seen) -> list[tuple]:
+        return _children(path, deep) if kind == "dir" else [(path, kind, size, seen)]
+
+    return _replace_rows(content)
+
+
+def _open_archives(path: str, kind: str, size, seen) -> list[tuple]:
+    """Replace an archive by its members; one that cannot be read stays, and fails when decoded."""
+    if kind != "file" or not path.endswith(ARCHIVE_SUFFIX):
+        return [(path, kind, size, seen)]
+    try:
+        with open_source(path) as source, zipfile.ZipFile(source) as archive:
+            return [(path + MEMBER_MARK + i.filename, kind, i.file_size, seen) for i in archive.infolist() if not i.is_dir()]
+    except UNREADABLE:
+        return [(path, kind, size, seen)]
+
+
+def _replace_rows(content):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for line, part, root, path, kind, size, seen in batch[_COLUMNS].itertuples(index=False):
-                if kind == "dir":
-                    fs, local = file_system(path)
-                    rows.extend((line, part, root, *e) for e in _children(fs, local, deep))
-                else:
-                    rows.append((line, part, root, path, kind, size, seen))
-            yield _frame(rows)
+            for row in batch[_COLUMNS].itertuples(index=False):
+                yield _frame([(*row[:3], *e) for e in content(*row[3:])])
 
     return run
 
@@ -137,8 +177,13 @@ def list_sources(lines: DataFrame, column: str = "expression") -> DataFrame:
     is replaced by its recursive content, level by level in natural order, without dot names.
     """
     found = expressions(lines, column).repartition("line_no", "part_no", "expression").mapInPandas(_expand, _ENTRY)
-    for deep in (False, True):
+    for deep in (*[False] * SPREAD_LEVELS, True):
         found = found.repartition("line_no", "part_no", "path").mapInPandas(_open_folders(deep), _ENTRY)
+    found = found.mapInPandas(_replace_rows(_open_archives), _ENTRY)
+    outer = F.substring_index("path", MEMBER_MARK, 1)
+    member = F.substring("path", F.length(outer) + F.lit(1 + len(MEMBER_MARK)), F.length("path"))
+    in_store = F.col("root").startswith("s3")
+    walk = F.when(in_store, natural_key(outer)).otherwise(tree_key(outer))
     keyed = found.select(
         "line_no",
         "part_no",
@@ -148,10 +193,15 @@ def list_sources(lines: DataFrame, column: str = "expression") -> DataFrame:
         "modified",
         natural_key("root").alias("_root"),
         F.col("root").alias("_root_raw"),
-        tree_key("path").alias("_tree"),
+        walk.alias("_walk"),
+        natural_key(member).alias("_member"),
     )
-    order = ["part_no", "_root", "_root_raw", "_tree", "path"]
-    numbered = number_rows(keyed.withColumn("_twin", F.monotonically_increasing_id()), ["line_no"], [*order, "_twin"])
+    # Equal rows (an expression may name a file twice) are counted and numbered, so that
+    # the order is unique and does not depend on how tasks happened to run.
+    counted = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("_n"))
+    single = counted.withColumn("_twin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    order = ["part_no", "_root", "_root_raw", "_walk", "_member", "path", "_twin"]
+    numbered = number_rows(single, ["line_no"], order)
     return numbered.select("line_no", "frame", "part_no", "path", "length", "modified", "status")
 
 

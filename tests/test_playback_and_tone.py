@@ -114,6 +114,18 @@ def test_image_function_errors_are_values(spark):
     assert (rows[0].w, rows[0].h, rows[0].c, list(rows[0].pixels)) == (2, 2, 1, [1.0] * 4)
 
 
+def test_an_edit_fails_with_its_first_failed_input(spark):
+    schema = "seq_id int, frame bigint, w int, h int, c int, pixels array<float>, status string, error string"
+    good, bad = (1, 1, 1, [5.0], "ok", None), (None, None, None, None, "error", "broken")
+    one = spark.createDataFrame([(0, 0, *good), (0, 1, *bad), (0, 2, *good)], schema)
+    two = spark.createDataFrame([(0, 0, *good), (0, 1, *bad[:5], "late")], schema)
+    aligned = programs.align_images([one, two])
+    failed = programs.failed_edits(aligned, 2).orderBy("frame").collect()
+    assert [(r.frame, r.error) for r in failed] == [(1, "broken"), (2, "late")]
+    values = programs.run_scalar_program(programs.usable_edits(aligned, 2), "x1 + x2", 2).collect()
+    assert [(r.frame, r.v) for r in values] == [(0, 10.0)]
+
+
 def test_unknown_sources_are_skipped(spark):
     frames = frames_from_arrays(spark, np.zeros((4, 2, 2, 1), np.float32))
     assert len(programs.pick_inputs("1,5,1@0,1@+1", [frames])) == 3

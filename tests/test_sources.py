@@ -79,6 +79,32 @@ def test_list_from_text_file(spark, tree):
     assert [r.frame for r in rows] == list(range(5))
 
 
+def test_archives_in_a_folder_are_opened(spark, tmp_path):
+    video = np.arange(48, dtype=np.float32).reshape(3, 2, 4, 2)
+    (tmp_path / "b.zip").write_bytes(
+        zip_bytes([("d/f10.npy", codecs.npy_bytes(video)), ("d/", b""), ("d/f9.png", codecs.png_bytes(np.full((2, 4, 2), 3, np.uint8)))])
+    )
+    (tmp_path / "a.vpp").write_bytes(codecs.vpp_bytes(video[:1]))
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    rows = listing.list_expression(spark, str(tmp_path)).orderBy("frame").collect()
+    assert [os.path.relpath(r.path, tmp_path) for r in rows] == ["a.vpp", "b.zip!/d/f9.png", "b.zip!/d/f10.npy", "c.zip"]
+    line = spark.createDataFrame([(0, str(tmp_path))], "line_no bigint, expression string")
+    frames = ingest.load_sequences(line).orderBy("frame").collect()
+    assert [(r.frame, r.status) for r in frames] == [(0, "ok"), (1, "ok"), (2, "ok"), (3, "ok"), (4, "ok"), (5, "unsupported")]
+    np.testing.assert_array_equal(np.array(frames[4].pixels, np.float32), video[2].reshape(-1))
+
+
+def test_paths_keep_their_scheme(spark, tree):
+    rows = listing.list_expression(spark, f"file://{tree}/a2::file://{tree}/img1.png::file://{tree}/i*2.png").orderBy("frame").collect()
+    assert [r.path for r in rows][:2] == [f"file://{tree}/a2/y1.png", f"file://{tree}/img1.png"]
+    assert {r.path for r in rows[2:]} == {f"file://{tree}/img02.png", f"file://{tree}/img2.png"}
+
+
+def test_a_file_named_twice_is_listed_twice(spark, tree):
+    rows = listing.list_expression(spark, f"{tree}/{{b.txt,a-b.png,b.txt}}").orderBy("frame").collect()
+    assert [os.path.basename(r.path) for r in rows] == ["a-b.png", "b.txt", "b.txt"]
+
+
 def _decode(spark, **files):
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "name string, content binary")
     return ingest.decode_content(df, ["name"])
