@@ -33,6 +33,15 @@ def finite(v) -> Column:
     return F.abs(col(v)) < F.lit(float("inf"))
 
 
+def explode_computed(df, array: Column, name: str, keep):
+    """One row per element of a computed array, evaluating the array once.
+
+    A plain explode makes the optimizer test the array's size in a filter of its own, which
+    computes it a second time and inlines everything it is built from.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def scale_of(radius) -> Column:
     return f32(lit32(1.0) / f32(lit32(2.0) * f32(radius)))
 

@@ -47,46 +47,26 @@ def jet(bands, scale, bias):
 
 
 def flow_angle(x: Column, y: Column) -> Column:
-    """Angle in degrees, 0..360, of a displacement; on the seam it is 0, never 360."""
-    run, rise = -x, y
-    turn = F.atan(rise / F.when(run != 0, run))
-    half = F.lit(PI / 2)
-    arc = (
-        F.when(run > 0, turn)
-        .when((run < 0) & (rise > 0), turn + PI)
-        .when(run < 0, turn - PI)
-        .when(rise > 0, half)
-        .when(rise < 0, -half)
-        .otherwise(F.lit(0.0))
-    )
-    return (F.lit(180.0) / F.lit(PI)) * (arc + PI)
+    """Angle in degrees, 0..360, of a displacement; straight along +x it is 0, not 360."""
+    seam = (y == 0) & (x > 0)
+    arc = F.when(seam, F.lit(-PI)).otherwise(F.atan2(y, -x))
+    return (F.lit(180.0) / F.lit(PI)) * (F.when((x == 0) & (y == 0), F.lit(0.0)).otherwise(arc) + PI)
 
 
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
-    """Hue in degrees to red, green, blue by six sectors."""
-    turn = h / SECTOR
-    sector = F.pmod(F.floor(turn), F.lit(6))
-    part = turn - sector
-    low = v * (1 - s)
-    falling = v * (1 - part * s)
-    rising = v * (1 - (1 - part) * s)
-    wheel = {
-        0: (v, rising, low),
-        1: (falling, v, low),
-        2: (low, v, rising),
-        3: (low, falling, v),
-        4: (rising, low, v),
-        5: (v, low, falling),
-    }
-    grey = s == 0
-
-    def channel(k: int) -> Column:
-        out = F.when(grey, v)
-        for number, colour in wheel.items():
-            out = out.when(sector == number, colour[k])
-        return out
-
-    return channel(0), channel(1), channel(2)
+    """Hue in degrees (0..360), saturation and value to red, green, blue.
+
+    Each channel dips by ``v * s`` away from its own sixth of the circle; the dip is a tent of
+    the turn, cut to 0..1, which names the hue only once per channel. A hue of exactly 360
+    falls in the first sixth with a fraction of 6, which lifts green above ``v``.
+    """
+
+    def channel(offset: int) -> Column:
+        turn = F.pmod(h / SECTOR + offset, F.lit(6.0))
+        dip = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(2.0) - F.abs(turn - 2.0)))
+        return v - v * s * dip
+
+    return channel(5), F.when(h >= 360, v * (s * 5 + 1)).otherwise(channel(3)), channel(1)
 
 
 def optical_flow(bands, scale, bias):

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.functions.numeric import col, f32, finite, lit32
+from frameloom.functions.numeric import col, explode_computed, f32, finite, lit32
 from frameloom.model import FRAME_KEYS, origin, to_samples
+from frameloom.operators.pixels import blocks_touching, in_region
 from frameloom.operators.spread import attach_by_key
 from frameloom.operators.stats import block_high, block_low
 
@@ -47,16 +48,58 @@ def count_bins(samples: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFram
     )
 
 
+def count_bins_in_rows(frames: DataFrame, region: str | None = None, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
+    """The same for whole frames that carry ``low, high``: counted inside each row, no shuffle.
+
+    Each sample becomes ``band * 256 + bin``; the sorted codes are cut into runs.
+    """
+    codes = F.sort_array(F.filter(F.transform("pixels", lambda v, i: _code(v, i, region)), lambda k: k.isNotNull()))
+    coded = frames.withColumn("_factor", bin_factor("low", "high")).withColumn("_codes", codes)
+    # No filter on these columns: it would move below and compute them all over again.
+    index = F.when(F.size("_codes") > 0, F.sequence(F.lit(0), F.size("_codes") - 1))
+    starts = F.filter(index, lambda k: (k == 0) | (F.get("_codes", k) != F.get("_codes", k - 1)))
+    cut = coded.select(*keys, "_codes", starts.alias("_starts"))
+    runs = F.transform(
+        "_starts",
+        lambda k, j: F.struct(
+            F.get("_codes", k).alias("code"),
+            (F.coalesce(F.get("_starts", j + 1), F.size("_codes")) - k).alias("n"),
+        ),
+    )
+    code = F.col("_run.code")
+    return explode_computed(cut, runs, "_run", keys).select(
+        *keys,
+        F.shiftright(code, 8).alias("band"),
+        code.bitwiseAND(BINS - 1).alias("bin"),
+        F.col("_run.n").cast("bigint").alias("n"),
+    )
+
+
+def _code(v: Column, i: Column, region: str | None) -> Column:
+    """Band and bin of sample ``i`` of a packed row; NULL when it does not count."""
+    number = bin_of(v, "low", "_factor")
+    counts = finite(v) & (number >= 0) & (number < BINS)
+    if region is not None:
+        pixel = F.floor(i / F.col("c"))
+        counts = counts & in_region(region, pixel % F.col("w"), F.floor(pixel / F.col("w")))
+    return F.when(counts, (i % F.col("c")) * BINS + number)
+
+
 def exact_histogram(
     blocks: DataFrame, ranges: DataFrame | None = None, region: Column | None = None, keys: Sequence[str] = FRAME_KEYS
 ) -> DataFrame:
-    """Histogram per band over the frame's own finite range; a region narrows the samples, not the range."""
+    """Histogram per band over the frame's own finite range; a region narrows the samples, not the range.
+
+    Whole frames are counted in place. Tiles need the ``ranges`` of their frames and add up
+    their counts in a shuffle of at most 256 rows per band, frame and task.
+    """
     ranged = with_range(blocks, ranges, keys)
+    if region is not None:
+        ranged = ranged.withColumn("_region", region)
+    if ranges is None:
+        return count_bins_in_rows(ranged, None if region is None else "_region", keys)
     if region is None:
         return count_bins(to_samples(ranged, keys, keep=("low", "high")), keys)
-    from frameloom.operators.pixels import blocks_touching, in_region
-
-    ranged = ranged.withColumn("_region", region)
     cut = to_samples(blocks_touching(ranged, "_region"), keys, keep=("low", "high", "_region"))
     return count_bins(cut.where(in_region("_region")), keys)
 
@@ -71,7 +114,7 @@ def _cells_inside(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str]) -
         F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i % row) < row - F.col("c")),
         lambda i: F.struct(
             i.alias("i"),
-            F.array_sort(
+            F.sort_array(
                 F.array(
                     F.get("pixels", i),
                     F.get("pixels", i + F.col("c")),
@@ -81,9 +124,8 @@ def _cells_inside(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str]) -
             ).alias("q"),
         ),
     )
-    flat = blocks.where(wide_enough).select(
-        *keys, *keep, x0.alias("_x0"), y0.alias("_y0"), "w", "c", F.explode(cells).alias("_cell")
-    )
+    place = (x0.alias("_x0"), y0.alias("_y0"), "w", "c")
+    flat = explode_computed(blocks.where(wide_enough), cells, "_cell", [*keys, *keep, *place])
     at = F.col("_cell.i")
     return flat.select(
         *keys,
@@ -119,7 +161,7 @@ def _cells_on_seams(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str])
         F.struct("x0", "y0").alias("_from"),
     )
     met = offered.groupBy(*keys, *keep, "y", "x", "band").agg(
-        F.array_sort(F.collect_list("v")).alias("q"),
+        F.sort_array(F.collect_list("v")).alias("q"),
         F.min("_from").alias("_first"),
         F.max("_from").alias("_last"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,14 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for rows that are small but stand for much work, such as paths to read.
+
+    An explicit number keeps adaptive execution from merging them into a few tasks.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settle(df: DataFrame, stem: str = "settled") -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
@@ -100,9 +108,8 @@ def prefix_sum(
     slab) plus a running sum over its own rows.
     ``order`` must be unique inside a key. With no ``value`` this numbers rows from 0.
     """
-    slabs = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     weight = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
-    ranged = df.withColumn("_val", weight).repartitionByRange(slabs, *keys, *order)
+    ranged = df.withColumn("_val", weight).repartitionByRange(*keys, *order)
     cut = settle(ranged.withColumn("_slab", F.spark_partition_id()), "slabs")
     earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.functions.numeric import f32, finite, lit32
+from frameloom.functions.numeric import explode_computed, f32, finite, lit32
 from frameloom.model import FRAME_KEYS
 from frameloom.operators.spread import attach_by_key
 
@@ -23,7 +23,12 @@ def block_high(pixels: str = "pixels") -> Column:
 
 
 def finite_range(blocks: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
-    """Finite minimum and maximum over all bands; one pair per block reaches the shuffle."""
+    """Finite minimum and maximum over all bands.
+
+    Whole frames are one row each and need no shuffle; otherwise one pair per block reaches it.
+    """
+    if "x0" not in blocks.columns and set(FRAME_KEYS) <= set(keys):
+        return blocks.select(*keys, block_low().alias("low"), block_high().alias("high"))
     return (
         blocks.select(*keys, block_low().alias("_low"), block_high().alias("_high"))
         .groupBy(*keys)
@@ -50,7 +55,7 @@ def rank_high(q: float, n) -> Column:
 
 def block_quantiles(frames: DataFrame, fractions: Sequence[float], keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
     """Saturation range of frames that fit one row: sort inside the row, no shuffle at all."""
-    ordered = frames.select(*keys, F.array_sort(F.filter("pixels", finite)).alias("_s"))
+    ordered = frames.select(*keys, F.sort_array(F.filter("pixels", finite)).alias("_s"))
     n = F.size("_s")
     rows = F.array(
         *[
@@ -62,7 +67,7 @@ def block_quantiles(frames: DataFrame, fractions: Sequence[float], keys: Sequenc
             for q in fractions
         ]
     )
-    return ordered.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
+    return explode_computed(ordered, rows, "_r", keys).select(*keys, "_r.*")
 
 
 def _coarse(v: Column) -> Column:
@@ -135,6 +140,37 @@ def box_pyramid(samples: DataFrame, level: int, keys: Sequence[str] = FRAME_KEYS
     ).agg(F.avg(F.col("v").cast("double")).alias("v"))
 
 
+def box_blocks(blocks: DataFrame, level: int) -> DataFrame:
+    """The same for packed rows, kept packed and never shuffled: float32 means of the boxes.
+
+    Tiles must start at multiples of 2^level, as the tile grid does for any level below its step.
+    """
+    step = 1 << level
+    others = [c for c in blocks.columns if c not in ("w", "h", "pixels", "x0", "y0")]
+    half = {n: F.expr(f"({n} + {step - 1}) div {step}").cast("int") for n in ("w", "h")}
+    moved = [F.expr(f"{n} div {step}").cast("int").alias(n) for n in ("x0", "y0") if n in blocks.columns]
+    sized = blocks.withColumns({"_w": half["w"], "_h": half["h"]})
+
+    def box(j: Column) -> Column:
+        pixel = F.floor(j / F.col("c")).cast("int")
+        left, top = (pixel % F.col("_w")) * step, F.floor(pixel / F.col("_w")).cast("int") * step
+        across = F.least(F.lit(step), F.col("w") - left)
+        down = F.least(F.lit(step), F.col("h") - top)
+        inside = F.transform(
+            F.sequence(F.lit(0), across * down - 1),
+            lambda k: F.get(
+                "pixels",
+                ((top + F.floor(k / across).cast("int")) * F.col("w") + left + k % across) * F.col("c") + j % F.col("c"),
+            ).cast("double"),
+        )
+        return F.aggregate(inside, F.lit(0.0), lambda acc, v: acc + v) / (across * down)
+
+    means = F.transform(F.sequence(F.lit(0), F.expr("_w * _h * c - 1")), lambda j: f32(box(j)))
+    # A separate step: new names must not be visible where the old sizes are still read.
+    made = sized.withColumn("_means", means)
+    return made.select(*others, *moved, F.col("_w").alias("w"), F.col("_h").alias("h"), F.col("_means").alias("pixels"))
+
+
 def nearest_pyramid(samples: DataFrame, level: int, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
     """The nearest-neighbour variant: every 2^level-th pixel, a filter without a shuffle."""
     step = 1 << level

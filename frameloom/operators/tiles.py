@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.numeric import col
+from frameloom.functions.numeric import col, explode_computed
 from frameloom.model import FRAME_KEYS, TILE_EDGE
 
 
@@ -34,7 +34,7 @@ def split_frames(frames: DataFrame, edge: int = TILE_EDGE, keys: Sequence[str] =
     down = F.sequence(F.lit(0), F.expr(f"(h - 1) div {edge}").cast("int"))
     across = F.sequence(F.lit(0), F.expr(f"(w - 1) div {edge}").cast("int"))
     tiles = F.flatten(F.transform(down, lambda ty: F.transform(across, lambda tx: _tile(tx, ty, edge))))
-    return frames.select(*keys, "c", F.explode(tiles).alias("_t")).select(
+    return explode_computed(frames, tiles, "_t", [*keys, "c"]).select(
         *keys, "_t.tx", "_t.ty", "_t.x0", "_t.y0", "_t.w", "_t.h", "c", "_t.pixels"
     )
 

@@ -20,16 +20,19 @@ from frameloom.functions.numeric import (
 )
 from frameloom.model import to_samples
 from frameloom.operators import pixels
-from frameloom.operators.histogram import count_bins, range_markers, value_marker, with_range
+from frameloom.operators.histogram import count_bins, count_bins_in_rows, range_markers, value_marker, with_range
 from frameloom.operators.spread import attach_by_key
 from frameloom.operators.stats import (
     block_high,
     block_low,
     block_quantiles,
+    box_blocks,
     box_pyramid,
     finite_range,
     frame_bytes,
     nearest_pyramid,
+    rank_high,
+    rank_low,
     sample_range,
     saturation_range,
 )
@@ -222,6 +225,15 @@ def pyramid_avg(spark, folder):
     return level.withColumn("v", F.round(F.col("v") + F.lit(3.7e-13), 9))
 
 
+@query(
+    "pyramid_packed",
+    f"""SELECT seq_id, frame, (y // 4)::INT AS y, (x // 4)::INT AS x, band, avg(v::DOUBLE)::FLOAT AS v FROM {IMG} GROUP BY ALL""",
+)
+def pyramid_packed(spark, folder):
+    """Two levels down, packed frames in and out."""
+    return to_samples(box_blocks(img(spark, folder), 2))
+
+
 @query(
     "pyramid_nearest",
     f"SELECT seq_id, frame, (y // 4)::INT AS y, (x // 4)::INT AS x, band, v FROM {IMG} WHERE x % 4 = 0 AND y % 4 = 0",
@@ -366,18 +378,14 @@ def size_literal(spark, folder):
 def display_histogram(spark, folder):
     """Per frame: finite range, 1 % saturation range, display scale and bias, 256-bin histogram.
 
-    Range and quantiles are read inside the packed row; the only shuffle is the one that
-    adds up bin counts, and the display columns ride along as grouping keys.
+    Everything is evaluated inside the packed row: one scan, no shuffle.
     """
     frames = img(spark, folder)
-    ordered = F.array_sort(F.filter("pixels", lambda v: F.abs(v) < F.lit(float("inf"))))
-    from frameloom.operators.stats import rank_high, rank_low
-
+    ordered = F.sort_array(F.filter("pixels", lambda v: F.abs(v) < F.lit(float("inf"))))
     ranged = frames.withColumn("low", block_low()).withColumn("high", block_high()).withColumn("_s", ordered)
     n = F.size("_s")
     sat_low = F.get("_s", rank_low(0.01, n).cast("int"))
     sat_high = F.get("_s", rank_high(0.01, n).cast("int"))
     radius, center = auto_radius(sat_low, sat_high), auto_center(sat_low, sat_high)
     shown = ranged.withColumn("scale", scale_of(radius)).withColumn("bias", bias_of(center, radius))
-    keep = ("low", "high", "scale", "bias")
-    return count_bins(to_samples(shown, keep=keep), ["seq_id", "frame", *keep])
+    return count_bins_in_rows(shown, keys=["seq_id", "frame", "low", "high", "scale", "bias"])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.numeric import auto_center, auto_radius, bias_of, scale_of
+from frameloom.functions.numeric import auto_center, auto_radius, bias_of, explode_computed, scale_of
 from frameloom.functions.tone import apply_tone, to_byte
 from frameloom.model import FRAME_KEYS
 from frameloom.operators.histogram import with_range
@@ -32,8 +32,11 @@ def pixel_rows(blocks: DataFrame, bands: Sequence[int] = DEFAULT_BANDS, keep: Se
     Pixels are cut out of the packed row, so bands never need to be joined back together.
     """
     whole = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
-    vectors = F.transform(whole, lambda i: F.slice("pixels", i * F.col("c") + 1, F.col("c")))
-    flat = blocks.select(*FRAME_KEYS, *keep, "w", "c", F.posexplode(vectors).alias("_i", "_p"))
+    vectors = F.transform(
+        whole, lambda i: F.struct(i.alias("i"), F.slice("pixels", i * F.col("c") + 1, F.col("c")).alias("p"))
+    )
+    flat = explode_computed(blocks, vectors, "_at", dict.fromkeys([*FRAME_KEYS, *keep, "w"]))
+    flat = flat.withColumn("_i", F.col("_at.i")).withColumn("_p", F.col("_at.p"))
 
     def band(b: int) -> Column:
         none = F.lit(0.0).cast("float")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators.collections import concat
+from frameloom.operators.spread import task_count
 from frameloom.sources import codecs
 from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, typed
 from frameloom.sources.listing import UNREADABLE, list_sources, open_source
@@ -166,7 +167,7 @@ def read_files(paths: DataFrame, keys: Sequence[str], range_bytes: int = RANGE_B
     ranges = told.mapInPandas(
         _ranges(keys, range_bytes), f"{own}, path string, _kind string, _start bigint, _count bigint, _problem string"
     )
-    return ranges.repartition("path", "_start").mapInArrow(_read(keys), f"{own}, {IMAGE_SCHEMA}")
+    return ranges.repartition(task_count(paths.sparkSession), "path", "_start").mapInArrow(_read(keys), f"{own}, {IMAGE_SCHEMA}")
 
 
 def load_sequences(lines: DataFrame, column: str = "expression") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.text import SEPARATOR, natural_key, readable_path, tree_key
-from frameloom.operators.spread import number_rows
+from frameloom.operators.spread import number_rows, task_count
 
 # The archive suffix and what separates an archive's path from a member's name.
 ARCHIVE_SUFFIX = ".zip"
@@ -176,9 +176,10 @@ def list_sources(lines: DataFrame, column: str = "expression") -> DataFrame:
     Parts keep their order and duplicates; glob matches come in natural order; a directory
     is replaced by its recursive content, level by level in natural order, without dot names.
     """
-    found = expressions(lines, column).repartition("line_no", "part_no", "expression").mapInPandas(_expand, _ENTRY)
+    tasks = task_count(lines.sparkSession)
+    found = expressions(lines, column).repartition(tasks, "line_no", "part_no", "expression").mapInPandas(_expand, _ENTRY)
     for deep in (*[False] * SPREAD_LEVELS, True):
-        found = found.repartition("line_no", "part_no", "path").mapInPandas(_open_folders(deep), _ENTRY)
+        found = found.repartition(tasks, "line_no", "part_no", "path").mapInPandas(_open_folders(deep), _ENTRY)
     found = found.mapInPandas(_replace_rows(_open_archives), _ENTRY)
     outer = F.substring_index("path", MEMBER_MARK, 1)
     member = F.substring("path", F.length(outer) + F.lit(1 + len(MEMBER_MARK)), F.length("path"))
