@@ -67,6 +67,28 @@ def visible_region(center_x, center_y, image_w, image_h, window_w, window_h, zoo
     )
 
 
+def viewport_fit_region(left, top, right, bottom, image_w, image_h) -> Column:
+    """Half-open pixel rectangle whose range fits the display to a viewport given in image coordinates.
+
+    The near corner is cut to the last pixel, the far one to the image edge; pixels the
+    viewport only partly covers count. NULL when nothing of the image is left.
+    """
+    def near(v, size) -> Column:
+        return F.least(F.greatest(col(v).cast("double"), F.lit(0.0)), (col(size) - 1).cast("double"))
+
+    def far(v, size) -> Column:
+        return F.least(F.greatest(col(v).cast("double"), F.lit(0.0)), col(size).cast("double"))
+
+    x0, y0, x1, y1 = near(left, image_w), near(top, image_h), far(right, image_w), far(bottom, image_h)
+    area = F.struct(
+        F.floor(x0).cast("int").alias("x0"),
+        F.floor(y0).cast("int").alias("y0"),
+        F.ceil(x1).cast("int").alias("x1"),
+        F.ceil(y1).cast("int").alias("y1"),
+    )
+    return F.when((x0 != x1) & (y0 != y1), area)
+
+
 def diagonal(width, height) -> Column:
     return F.sqrt(col(width).cast("double") * col(width) + col(height).cast("double") * col(height))
 

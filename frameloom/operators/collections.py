@@ -108,8 +108,11 @@ def align(inputs: Sequence[DataFrame], payload: Sequence[str], keys: Sequence[st
     for side in sides[1:]:
         met = met.join(side, [*keys, "frame"], "full_outer")
     met = attach_by_key(met, present, keys, [*keys, "frame"], settled=True)
+    small = is_small(present)
+    shorter = present.agg(*[F.max(F.col("_longest") > F.col(f"_len{k}")) for k in numbers]).first()
     for k, side in zip(numbers, sides):
-        met = _hold_last(met, side, present, k, keys)
+        if shorter[k - 1]:
+            met = _hold_last(met, side, present, k, keys, small)
     names = [f"_p{k}" for k in numbers]
     columns = [F.col(f"{name}.{p}").alias(f"{p}_{k}") for k, name in enumerate(names, start=1) for p in payload]
     return met.select(*keys, "frame", *columns)
@@ -119,27 +122,26 @@ def _largest(columns: Sequence[Column]) -> Column:
     return F.greatest(*columns) if len(columns) > 1 else columns[0]
 
 
-def _hold_last(met: DataFrame, side: DataFrame, present: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def _hold_last(met: DataFrame, side: DataFrame, present: DataFrame, k: int, keys: list[str], small: bool) -> DataFrame:
     """Fill input ``k`` past its end with its last frame.
 
     A frame that is not held looks for a key of its own that matches nothing, so it stays
-    evenly spread; a held one looks for a copy of the last frame of its group. The number
-    of copies follows from the lengths alone.
+    evenly spread; a held one looks for the last frame of its group. That frame is broadcast
+    when all last frames together are small, else copied as often as the lengths ask for.
     """
     name, length = f"_p{k}", F.col(f"_len{k}")
-    short = present.where(F.col("_longest") > length)
-    if short.isEmpty():
-        return met
-    ends = short.select(*keys, (length - 1).alias("frame"), "_longest", length.alias("_size"))
-    if is_small(present):
+    ends = present.where(F.col("_longest") > length).select(*keys, (length - 1).alias("frame"), "_longest", length.alias("_size"))
+    if small:
         ends = F.broadcast(ends)
     last = settle(side.join(ends, [*keys, "frame"]).drop("frame").withColumnRenamed(name, "_last"), "last")
-    copies = F.ceil((F.col("_longest") - F.col("_size")) / HOT_ROWS)
-    spare = last.withColumn("_own", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    spare = spare.select(*keys, (-F.col("_own")).alias("_own"), "_last")
     if is_small(last):
-        spare = F.broadcast(spare)
-    reps = F.ceil((F.col("_longest") - length) / HOT_ROWS)
+        spare = F.broadcast(last.withColumn("_own", F.lit(-1).cast("bigint")))
+        reps = F.lit(1)
+    else:
+        reps = F.ceil((F.col("_longest") - length) / HOT_ROWS)
+        copies = F.sequence(F.lit(1).cast("bigint"), F.ceil((F.col("_longest") - F.col("_size")) / HOT_ROWS))
+        spare = last.withColumn("_own", F.explode(F.transform(copies, lambda k: -k)))
+    spare = spare.select(*keys, "_own", "_last")
     own = F.when(F.col("frame") >= length, -1 - F.pmod(F.col("frame"), reps)).otherwise(F.col("frame"))
     filled = met.withColumn("_own", own).join(spare, [*keys, "_own"], "left")
     return filled.withColumn(name, F.coalesce(name, "_last")).drop("_last", "_own")

@@ -30,6 +30,12 @@ def edit_key(kind: int, program, input_keys: Sequence) -> Column:
     return F.concat(F.lit(f"{EDIT_PREFIX}{kind}"), col(program), *[col(k) for k in input_keys])
 
 
+def images_by_key(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """Attach the image to each request for a ``key``; NULLs when there is none. One image may be
+    asked for very often."""
+    return hot_join(requests, images, ["key"], requests.columns, "left")
+
+
 def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paths that are new, modified or gone between two listings (path, modified, length)."""
     state = ["path", "modified", "length"]

@@ -71,7 +71,7 @@ def run_scalar_program(aligned: DataFrame, program: str, count: int, keys: Seque
     """
     flat = aligned.select(
         *keys, "frame", F.col("w_1").alias("w"), F.col("c_1").alias("c"),
-        F.posexplode(F.arrays_zip(*[F.col(f"pixels_{k}").alias(f"x{k}") for k in range(1, count + 1)])).alias("_i", "_v"),
+        F.posexplode_outer(F.arrays_zip(*[F.col(f"pixels_{k}").alias(f"x{k}") for k in range(1, count + 1)])).alias("_i", "_v"),
     ).select(*keys, "frame", "w", "c", "_i", "_v.*")
     kept = flat.where(F.col("x1").isNotNull()).withColumn("v", F.expr(program).cast("float"))
     return kept.select(

@@ -35,9 +35,13 @@ def settle(df: DataFrame, stem: str = "settled") -> DataFrame:
 
 
 def is_small(settled: DataFrame) -> bool:
-    """Size check on a settled table: file bytes from the scan statistics, rows from the footers."""
+    """Size check on a settled table: file bytes from the scan statistics, then rows from the footers.
+
+    Rows with distinct keys take at least a byte each even when compressed, so a table under
+    ``BROADCAST_ROWS`` bytes needs no count.
+    """
     size = int(str(settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS
+    return size <= BROADCAST_ROWS or (size <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS)
 
 
 def attach_by_key(

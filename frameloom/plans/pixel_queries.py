@@ -11,7 +11,7 @@ from frameloom.operators import pixels, tiles
 from frameloom.operators.histogram import exact_histogram, smooth_histogram
 from frameloom.operators.stats import finite_range
 from frameloom.plans.registry import query
-from frameloom.plans.views import IMG, IMG4, img, img4, numbered, table, urls, vectors
+from frameloom.plans.views import IMG, IMG4, img, img4, numbered, table, urls
 from frameloom.sinks.render import pixel_rows
 
 

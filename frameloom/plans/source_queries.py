@@ -12,7 +12,7 @@ from frameloom.plans.registry import query
 from frameloom.plans.views import DENSE, IMG, IMG4, img, img4, numbered, table
 from frameloom.session import fresh_folder
 from frameloom.sinks.export import array_files, frame_files
-from frameloom.sinks.render import byte_pixels, rendered_pngs, toned_pixels, with_display, write_rendered
+from frameloom.sinks.render import rendered_pngs, with_display, write_rendered
 from frameloom.sources.archive import members, ordered_members, zip_bytes
 from frameloom.sources.ingest import decode_content, good_frames, quarantine
 from frameloom.sources.sniff import file_format

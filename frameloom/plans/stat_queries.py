@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameloom.functions import tone
+from frameloom.functions import geometry, tone
 from frameloom.functions.numeric import (
     SATURATIONS,
     auto_center,
@@ -36,10 +36,9 @@ from frameloom.operators.stats import (
     sample_range,
     saturation_range,
 )
-from frameloom.operators.tiles import split_frames
 from frameloom.plans.registry import query
 from frameloom.plans.views import BIG, FLOW, IMG, IMG4, big, flow, img, img4, table
-from frameloom.sinks.render import byte_pixels, pixel_rows, toned_pixels, with_display
+from frameloom.sinks.render import byte_pixels, toned_pixels, with_display
 
 _RANGE = "r AS (SELECT seq_id, frame, min(v) AS low, max(v) AS high FROM s GROUP BY 1, 2)"
 _DISPLAY = f"""{_RANGE},
@@ -121,6 +120,31 @@ def sat_quantiles_bands(spark, folder):
     return saturation_range(chosen, SATURATIONS, ["seq_id", "frame"], ["y", "x", "band"])
 
 
+@query(
+    "viewport_contrast",
+    f"""WITH p AS (SELECT vec_id, 1.5::DOUBLE + vec_id % 5 AS z, (vec_id % 9) * 0.25::DOUBLE - 0.5::DOUBLE AS cx FROM embeddings),
+        q AS (SELECT vec_id, least(greatest(cx * 4 - 3 / z, 0), 3) AS x0, least(greatest(2 - 2.5::DOUBLE / z, 0), 3) AS y0,
+              least(greatest(cx * 4 + 3 / z, 0), 4) AS x1, least(greatest(2 + 2.5::DOUBLE / z, 0), 4) AS y1 FROM p)
+        SELECT seq_id, frame, min(v) AS low, max(v) AS high FROM {IMG4} s JOIN q ON q.vec_id = s.frame
+        WHERE band IN (1, 3) AND x0 <> x1 AND y0 <> y1 AND x >= floor(x0) AND x < ceil(x1) AND y >= floor(y0) AND y < ceil(y1) GROUP BY 1, 2""",
+)
+def viewport_contrast(spark, folder):
+    """Range of two bands inside what a 6x5 window shows; some views miss the image altogether."""
+    f = F.col("frame")
+    zoom = (F.lit(1.5) + f % 5).cast("double")
+    center = (f % 9) * F.lit(0.25) - F.lit(0.5)
+
+    def edge(at: int, middle, window: int):
+        return geometry.to_image(F.lit(float(at)), middle, F.lit(4.0), F.lit(float(window)), zoom)
+
+    area = geometry.viewport_fit_region(
+        edge(0, center, 6), edge(0, F.lit(0.5), 5), edge(6, center, 6), edge(5, F.lit(0.5), 5), F.col("w"), F.col("h")
+    )
+    seen = img4(spark, folder).withColumn("_r", area).where(F.col("_r").isNotNull())
+    samples = to_samples(pixels.blocks_touching(seen, "_r"), keep=("_r",)).where(pixels.in_region("_r"))
+    return sample_range(samples.where(F.col("band").isin(1, 3)))
+
+
 @query(
     "band_roi_minmax",
     f"""SELECT seq_id, frame, min(v) AS low, max(v) AS high FROM {IMG4}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "frameloom", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings every operator assumes (AQE on, UTC)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -23,6 +26,29 @@ def build_session(app: str = "frameloom", cores: str = "*", partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per context."""
+    from frameloom.sources.listing import file_system
+
+    sc = spark.sparkContext
+    if getattr(sc, "_frameloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent).as_posix())
+    target = f"{fresh_folder(spark, 'package')}/frameloom.zip"
+    fs, local, _ = file_system(target)
+    fs.create_dir(os.path.dirname(local))
+    with fs.open_output_stream(local) as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(target)
+    sc._frameloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +56,6 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
         return named
     held = sc.getCheckpointDir()
     if held:

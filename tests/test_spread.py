@@ -115,3 +115,11 @@ def test_shift_and_pin(spark):
     assert names(seqs.shift(frames, 9)) == ["0.3"]
     assert names(seqs.pin(frames, 2)) == ["0.2"]
     assert names(seqs.pin(frames, 7)) == []
+
+
+def test_package_is_shipped_once(spark):
+    from frameloom.session import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert [p for p in spark.sparkContext._python_includes if p == "frameloom.zip"] == ["frameloom.zip"]
