@@ -408,8 +408,10 @@ def display_histogram(spark, folder):
     ordered = F.sort_array(F.filter("pixels", lambda v: F.abs(v) < F.lit(float("inf"))))
     ranged = frames.withColumn("low", block_low()).withColumn("high", block_high()).withColumn("_s", ordered)
     n = F.size("_s")
-    sat_low = F.get("_s", rank_low(0.01, n).cast("int"))
-    sat_high = F.get("_s", rank_high(0.01, n).cast("int"))
-    radius, center = auto_radius(sat_low, sat_high), auto_center(sat_low, sat_high)
-    shown = ranged.withColumn("scale", scale_of(radius)).withColumn("bias", bias_of(center, radius))
+    saturated = ranged.select(
+        "seq_id", "frame", "c", "pixels", "low", "high",
+        F.get("_s", rank_low(0.01, n).cast("int")).alias("_a"), F.get("_s", rank_high(0.01, n).cast("int")).alias("_b"),
+    )
+    radius, center = auto_radius("_a", "_b"), auto_center("_a", "_b")
+    shown = saturated.withColumn("scale", scale_of(radius)).withColumn("bias", bias_of(center, radius))
     return count_bins_in_rows(shown, keys=["seq_id", "frame", "low", "high", "scale", "bias"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import text
 from frameloom.operators import search
-from frameloom.operators.spread import number_rows
+from frameloom.operators.spread import number_rows, settle
 from frameloom.plans.registry import query
 from frameloom.plans.views import table, urls
 
@@ -29,7 +29,8 @@ def natural_sort(spark, folder):
     items = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", *ties)
     path = F.concat("p_name", F.lit("/img"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_orderkey").cast("string"), F.lit(".png"))
     named = items.join(parts, "l_partkey").select("l_suppkey", path.alias("path"), *ties)
-    keyed = named.withColumn("_key", text.natural_key("path"))
+    # The key is costly and cutting into ranges reads its input twice (once to sample it).
+    keyed = settle(named.withColumn("_key", text.natural_key("path")), "keyed")
     return number_rows(keyed, ["l_suppkey"], ["_key", *ties]).select("l_suppkey", "path", "frame")
 
 
