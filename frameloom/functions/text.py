@@ -14,6 +14,8 @@ SEPARATOR = "::"
 MAX_PARAMETERS = 10
 OBJECT_STORE_SCHEME = "s3://"
 OBJECT_STORE_READER = "s3a://"
+# Remote schemes and the virtual-file prefixes that stand for them in source names.
+VIRTUAL_PREFIXES = {"s3://": "/vsis3/", "https://": "/vsicurl/https://", "http://": "/vsicurl/http://"}
 
 _WIDTH = 20
 _DIGITS_MARK = "\u0001"
@@ -64,14 +66,13 @@ def readable_path(path) -> Column:
 
 
 def virtual_path(path) -> Column:
-    """The same rewrite with virtual-file prefixes, as used in source names."""
+    """The same rewrite with virtual-file prefixes, as used in source names. Every occurrence of
+    the scheme the path starts with is replaced."""
     path = col(path)
-    return (
-        F.when(path.startswith("s3://"), F.regexp_replace(path, "s3://", "/vsis3/"))
-        .when(path.startswith("https://"), F.regexp_replace(path, "https://", "/vsicurl/https://"))
-        .when(path.startswith("http://"), F.regexp_replace(path, "http://", "/vsicurl/http://"))
-        .otherwise(path)
-    )
+    out = F.when(F.lit(False), path)
+    for scheme, prefix in VIRTUAL_PREFIXES.items():
+        out = out.when(path.startswith(scheme), F.replace(path, F.lit(scheme), F.lit(prefix)))
+    return out.otherwise(path)
 
 
 def last_characters(name, n: int) -> Column:
