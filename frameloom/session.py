@@ -32,8 +32,6 @@ def build_session(app: str = "frameloom", cores: str = "*", partitions: int = 8,
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor, once per context."""
-    from frameloom.sources.listing import file_system
-
     sc = spark.sparkContext
     if getattr(sc, "_frameloom_shipped", False):
         return
@@ -43,10 +41,10 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent).as_posix())
     target = f"{fresh_folder(spark, 'package')}/frameloom.zip"
-    fs, local, _ = file_system(target)
-    fs.create_dir(os.path.dirname(local))
-    with fs.open_output_stream(local) as out:
-        out.write(packed.getvalue())
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
     sc.addPyFile(target)
     sc._frameloom_shipped = True
 
