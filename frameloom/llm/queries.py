@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import table
+from frameloom.llm.decontaminate import contamination, matches
+from frameloom.llm.lines import remove_repeats
 from frameloom.llm.simhash import near_duplicates
 from frameloom.session import ship_package
 
@@ -33,6 +35,71 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents
+), filled AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT a.doc_id, a.pos AS p0, b.pos AS p1, c.pos AS p2, a.line AS l0, b.line AS l1, c.line AS l2
+  FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.j = a.j + 1 JOIN filled c ON a.doc_id = c.doc_id AND c.j = a.j + 2
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, p0) AS occurrence FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([p0, p1, p2]) AS pos FROM ranked WHERE occurrence > 1
+), rest AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(length(r.text) AS BIGINT) AS n_chars, sha256(r.text) AS text_sha256
+FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id
+"""
+
+
+@query("op2_line_dedup", LINE_DEDUP_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
+DECONTAMINATION_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), tests AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), test_starts AS (
+  SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM tests WHERE len(w) > 0
+), test_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM test_starts
+), doc_starts AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM test_windows) WHERE len(w) >= n
+), found AS (
+  SELECT d.doc_id, d.i, d.n, t.item_id
+  FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM doc_starts) d JOIN test_windows t ON d.n = t.n AND d.phrase = t.phrase
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op8_benchmark_decontamination", DECONTAMINATION_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
