@@ -31,8 +31,12 @@ _FOLD = bytes(
 )
 
 
+def folded(text: bytes) -> bytes:
+    return text.translate(_FOLD)
+
+
 def words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    return folded(text).split()
 
 
 class Phrases(NamedTuple):

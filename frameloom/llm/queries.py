@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import table
+from frameloom.llm.common import remainder, table
 from frameloom.llm.decontaminate import contamination, matches
 from frameloom.llm.lines import remove_repeats
+from frameloom.llm.mixing import mix
 from frameloom.llm.simhash import near_duplicates
+from frameloom.llm.toxicity import score_toxicity
 from frameloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +69,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOXIC_FROM = 0.3
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    learned_from = table(spark, folder, "labels").where(remainder("doc_id", 4) != 2)
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(documents, learned_from.select("doc_id", F.col("toxic").alias("label")))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 DECONTAMINATION_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
