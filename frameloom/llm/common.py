@@ -37,3 +37,13 @@ def document_key(doc_id: str, text: str) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Narrow a table, so that extra columns of any name cannot clash with an operator's own."""
     return df.select(*names)
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and document key are not in ``gone(doc_id, doc_key)``; columns as they were.
+
+    ``gone`` is narrow; the engine chooses by its size whether the texts have to move.
+    """
+    listed = gone.select(F.col("doc_id").alias("_gone_id"), F.col("doc_key").alias("_gone_key"))
+    same = (document_key(doc_id, text) == F.col("_gone_key")) & F.col(doc_id).eqNullSafe(F.col("_gone_id"))
+    return docs.join(listed, same, "left_anti")

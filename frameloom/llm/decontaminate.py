@@ -252,6 +252,6 @@ def contamination(found: DataFrame) -> DataFrame:
     """Counts per document from :func:`matches`."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["begin"])
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "doc_key", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )

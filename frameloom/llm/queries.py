@@ -115,7 +115,7 @@ FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_i
 
 @query("op8_benchmark_decontamination", DECONTAMINATION_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination(matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    return contamination(matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))).drop("doc_key")
 
 
 @query("op9_simhash_near_dedup")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import as_bytes, only
+from frameloom.llm.common import as_bytes, document_key
 from frameloom.llm.components import components
 from frameloom.operators.spread import settle
 
@@ -99,16 +99,24 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = 4) -> DataFrame:
-    """One row per document: ``(doc_id, fp, component_id)``; ``component_id`` is the smallest doc_id reachable.
+    """One row per document: ``(doc_id, doc_key, fp, component_id, stays)``.
 
+    ``component_id`` is the smallest doc_id reachable, and ``stays`` marks the document that stands for the component.
     A NULL text has no words, texts without words have fingerprint zero and are linked like any other. A NULL doc_id
-    keeps its row, and is the component's id only if the component has no other. Repeated rows keep theirs.
+    keeps its row and counts as larger than any other. Among rows that share a doc_id, ``doc_key`` decides; rows that
+    repeat id and text are the same document and stay or go together.
     """
-    prints = settle(only(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), fingerprint_column(text).alias("fp")), "prints")
-    smallest = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
+    prints = settle(
+        docs.select(F.col(doc_id).alias("doc_id"), document_key(doc_id, text).alias("doc_key"), fingerprint_column(text).alias("fp")),
+        "prints",
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
+    smallest = settle(prints.groupBy("fp").agg(F.min(place).alias("first")), "distinct-prints")
     found = settle(components(close_links(smallest.select("fp"), distance, blocks)), "groups")
     rooted = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    return prints.join(rooted.join(heads, "root").select("fp", "head"), "fp").select(
+        "doc_id", "doc_key", "fp", F.col("head.doc_id").alias("component_id"), place.eqNullSafe(F.col("head")).alias("stays")
     )
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
