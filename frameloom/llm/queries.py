@@ -12,6 +12,7 @@ from frameloom.llm.common import remainder, table
 from frameloom.llm.decontaminate import contamination, matches
 from frameloom.llm.lines import remove_repeats
 from frameloom.llm.mixing import mix
+from frameloom.llm.rules import judge
 from frameloom.llm.simhash import near_duplicates
 from frameloom.llm.toxicity import score_toxicity
 from frameloom.session import ship_package
@@ -122,3 +123,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
