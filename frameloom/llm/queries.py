@@ -16,6 +16,8 @@ from frameloom.llm.mixing import mix
 from frameloom.llm.rules import judge
 from frameloom.llm.simhash import near_duplicates
 from frameloom.llm.toxicity import score_toxicity
+from frameloom.llm.warc import archive_pages, page_records, read_archives
+from frameloom.operators.spread import task_count
 from frameloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS size FROM pages
+), firsts AS (
+  SELECT page_id, payload, size, min(page_id) OVER (PARTITION BY payload) AS first_id FROM payloads
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN size >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+@query("op1_warc", WARC_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    archives = archive_pages(spark, table(spark, folder, "pages"))
+    chunks = read_archives(archives.repartition(task_count(spark), "path"), with_chunks=False)
+    return page_records(chunks).drop("n_chunks")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
