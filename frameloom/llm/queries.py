@@ -17,6 +17,7 @@ from frameloom.llm.rules import judge
 from frameloom.llm.simhash import near_duplicates
 from frameloom.llm.toxicity import score_toxicity
 from frameloom.llm.warc import archive_pages, page_records, read_archives
+from frameloom.llm.wrapper import main_text
 from frameloom.operators.spread import task_count
 from frameloom.session import ship_package
 
@@ -144,6 +145,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 DECONTAMINATION_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
