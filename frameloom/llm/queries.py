@@ -12,6 +12,7 @@ from frameloom.llm.chat import format_conversations, loss_text
 from frameloom.llm.common import remainder, table
 from frameloom.llm.decontaminate import contamination, matches
 from frameloom.llm.lines import remove_repeats
+from frameloom.llm.maxent import score_documents
 from frameloom.llm.mixing import mix
 from frameloom.llm.rules import judge
 from frameloom.llm.simhash import near_duplicates
@@ -105,6 +106,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_documents(documents, remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 @query("op5_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
