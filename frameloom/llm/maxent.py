@@ -26,8 +26,8 @@ from frameloom.operators.spread import settle
 
 SMOOTH = 0.1
 END = b""  # the end of a text; no word is empty
-HEADS, MEMBERS = 64, 64  # classes of frequent words, and words in each
-TAILS = 64  # ranges of all other words
+HEADS, MEMBERS = 32, 64  # classes of frequent words, and words in each
+TAILS = 32  # ranges of all other words
 CLASSES = HEADS + TAILS
 LISTED = 1 << 18  # words whose counts are broadcast; all others meet their counts in a join
 WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 13, 1 << 14, 1 << 15
@@ -207,11 +207,16 @@ def _per_class(lexicon: Lexicon) -> int:
 
 def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
     """One step for the rows of a batch, each at its own rate."""
-    order = np.argsort(row, kind="stable")
-    names, first = np.unique(row[order], return_index=True)
-    total = np.add.reduceat(gradient[order], first, axis=0)
-    seen[names] += np.square(total).mean(axis=1)
-    table[names] -= STEP * total / np.sqrt(seen[names] + 1e-8)[:, None]
+    names = np.flatnonzero(np.bincount(row, minlength=len(table)))
+    place = np.zeros(len(table), np.int64)
+    place[names] = np.arange(len(names))
+    own = place[row]
+    width = gradient.shape[1]
+    cell = (own[:, None] * width + np.arange(width)).ravel()
+    total = np.bincount(cell, gradient.ravel(), len(names) * width).reshape(-1, width).astype(np.float32)
+    seen[names] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    total *= (STEP / np.sqrt(seen[names] + 1e-8))[:, None]
+    table[names] -= total
 
 
 def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
