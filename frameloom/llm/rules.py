@@ -114,6 +114,8 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]], rule: Rule) -> tuple[fl
     """The condition with the largest information gain over the rule, from one count per share and interval."""
     interval = lambda n: F.size(F.filter(F.array(*map(F.lit, cuts[n])), lambda c: c <= F.col(n)))
     names = [n for n in cuts if cuts[n]]
+    if not names:
+        return None
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("share"), interval(n).alias("at")) for n in names]))
     counted = rows.select("bad", pairs.alias("p")).groupBy("p.share", "p.at").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect()
     best: tuple[float, Condition] | None = None

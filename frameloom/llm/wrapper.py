@@ -106,7 +106,7 @@ def parse(page: str) -> Element:
                     break
             continue
         ends = CLOSES.get(tag, ())
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at].tag == "p" or stack[at].tag in ends:
                     del stack[at:]
