@@ -30,7 +30,7 @@ HEADS, MEMBERS = 32, 64  # classes of frequent words, and words in each
 TAILS = 32  # ranges of all other words
 CLASSES = HEADS + TAILS
 LISTED = 1 << 18  # words whose counts are broadcast; all others meet their counts in a join
-WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 13, 1 << 14, 1 << 15
+WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13, 1 << 13
 ROUNDS = 2  # the training documents are dealt into so many parts, one for each round of parallel updates
 STEP = 0.15
 TOKENS = 4096  # tokens of a batch
@@ -235,6 +235,11 @@ def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> N
                 _descend(tables[name], seen[name], rows[name], gradient)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Half precision on the way: the moves of one round are small."""
+    return np.clip(values, -6e4, 6e4).astype(np.float16).tobytes()
+
+
 def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast) -> DataFrame:
     """One round: every task learns from its documents, beginning at the shared weights, and hands on the rows it moved."""
 
@@ -253,16 +258,16 @@ def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast) -> DataFrame:
             for at in range(0, len(table), BLOCK_ROWS):
                 moved = seen[name][at : at + BLOCK_ROWS]
                 if moved.any():
-                    delta = (table[at : at + BLOCK_ROWS] - start.value[name][at : at + BLOCK_ROWS]).astype(np.float32)
-                    weight = np.sqrt(moved).astype(np.float32)
-                    packed = np.column_stack([weight, delta * weight[:, None]]).astype(np.float32)
-                    yield pa.RecordBatch.from_pydict({"name": [name], "block": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "sums": [packed.tobytes()]})
+                    delta = table[at : at + BLOCK_ROWS] - start.value[name][at : at + BLOCK_ROWS]
+                    weight = np.sqrt(moved)
+                    packed = _packed(np.column_stack([weight, delta * weight[:, None]]))
+                    yield pa.RecordBatch.from_pydict({"name": [name], "block": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "sums": [packed]})
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(rows["sums"].iloc[0]) // 4)
+        total = np.zeros(len(rows["sums"].iloc[0]) // 2, np.float32)
         for packed in sorted(rows["sums"]):
-            total += np.frombuffer(packed, np.float32)
-        return pd.DataFrame({"name": rows["name"].iloc[:1], "block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
+            total += np.frombuffer(packed, np.float16) / MERGE_FAN_IN  # a mean needs no scale, and half precision has no room for sums
+        return pd.DataFrame({"name": rows["name"].iloc[:1], "block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [_packed(total)]})
 
     schema = "name string, block int, part int, sums binary"
     first = docs.select("body").mapInArrow(run, schema).groupBy("name", "block", "part").applyInPandas(merged, schema)
@@ -291,8 +296,8 @@ def train(docs: DataFrame, lexicon: Broadcast, rounds: int = ROUNDS) -> Tables:
         tables = {n: t.copy() for n, t in tables.items()}
         for row in _update(share, lexicon, start).collect():
             table = tables[row["name"]]
-            sums = np.frombuffer(row["sums"], np.float32).reshape(-1, table.shape[1] + 1)
-            table[row["block"] : row["block"] + len(sums)] += sums[:, 1:] / np.maximum(sums[:, :1], 1e-8)
+            sums = np.frombuffer(row["sums"], np.float16).astype(np.float32).reshape(-1, table.shape[1] + 1)
+            table[row["block"] : row["block"] + len(sums)] += sums[:, 1:] / np.maximum(sums[:, :1], 1e-6)
     return tables
 
 
