@@ -34,6 +34,7 @@ WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13, 1 << 13
 ROUNDS = 2  # the training documents are dealt into so many parts, one for each round of parallel updates
 STEP = 0.15
 TOKENS = 4096  # tokens of a batch
+SHORT_RUN = 16
 BLOCK_ROWS = 1024  # rows of weights that travel together
 MERGE_FAN_IN = 32
 HELD_WORDS = 400_000  # different words that a task counts before it hands the counts on
@@ -205,15 +206,26 @@ def _per_class(lexicon: Lexicon) -> int:
     return max(1, -(-frequent // HEADS))
 
 
+def _row_sums(row: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a batch and the sums of their gradients: long runs one by one, short ones side by side."""
+    order = np.argsort(row, kind="stable")
+    sorted_rows, values = row[order], gradient[order]
+    first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+    size = np.diff(np.append(first, len(row)))
+    total = values[first]
+    for run in np.flatnonzero(size > SHORT_RUN).tolist():
+        total[run] = values[first[run] : first[run] + size[run]].sum(axis=0)
+    open_runs, done = np.flatnonzero((size > 1) & (size <= SHORT_RUN)), 1
+    while len(open_runs):
+        total[open_runs] += values[first[open_runs] + done]
+        done += 1
+        open_runs = open_runs[size[open_runs] > done]
+    return sorted_rows[first], total
+
+
 def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
     """One step for the rows of a batch, each at its own rate."""
-    names = np.flatnonzero(np.bincount(row, minlength=len(table)))
-    place = np.zeros(len(table), np.int64)
-    place[names] = np.arange(len(names))
-    own = place[row]
-    width = gradient.shape[1]
-    cell = (own[:, None] * width + np.arange(width)).ravel()
-    total = np.bincount(cell, gradient.ravel(), len(names) * width).reshape(-1, width).astype(np.float32)
+    names, total = _row_sums(row, gradient)
     seen[names] += np.einsum("ij,ij->i", total, total) / total.shape[1]
     total *= (STEP / np.sqrt(seen[names] + 1e-8))[:, None]
     table[names] -= total
