@@ -101,7 +101,7 @@ def megabytes(text) -> Column:
         return F.regexp_extract(text, rf"([0-9.]+){unit}", 1)
 
     return (
-        F.when(number("GB") != "", number("GB").cast("double") * 1000)
-        .when(number("MB") != "", number("MB").cast("double"))
-        .when(number("KB") != "", number("KB").cast("double") / 1000)
+        F.when(number("GB") != "", number("GB").try_cast("double") * 1000)
+        .when(number("MB") != "", number("MB").try_cast("double"))
+        .when(number("KB") != "", number("KB").try_cast("double") / 1000)
     )

@@ -130,7 +130,7 @@ def band_setting(text) -> Column:
     text = col(text)
     numbers = F.regexp_extract(text, r"^c:bands:((?:\s*[+-]?\d+)(?:,\s*[+-]?\d+){0,2})?", 1)
     parts = F.filter(F.split(numbers, ","), lambda p: F.length(p) > 0)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.coalesce(F.get(parts, k).cast("int"), F.lit(-1)))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.coalesce(F.get(parts, k).try_cast("int"), F.lit(-1)))
     return F.when(text.startswith("c:bands:"), filled)
 
 

@@ -20,12 +20,16 @@ BINS = 256  # fixed value: number of histogram bins
 def bin_factor(low, high) -> Column:
     """Bins per unit in float32; 0 for a constant image, which puts every sample in bin 0."""
     span = f32(f32(high) - f32(low))
-    return F.when(span > 0, f32(lit32(BINS - 1) / span)).otherwise(lit32(0.0))
+    wide = F.lit(float(BINS - 1)) / (col(high).cast("double") - col(low).cast("double"))
+    return F.when(span == float("inf"), f32(wide)).when(span > 0, f32(lit32(BINS - 1) / span)).otherwise(lit32(0.0))
 
 
 def bin_of(v, low, factor) -> Column:
-    """Truncating bin number; only a sample equal to the maximum reaches the last bin."""
-    return f32(f32(f32(v) - f32(low)) * f32(factor)).cast("int")
+    """Truncating bin number; only a sample equal to the maximum reaches the last bin. NULL far outside of the range."""
+    away = f32(f32(v) - f32(low))
+    wide = (col(v).cast("double") - col(low).cast("double")) * col(factor).cast("double")
+    place = F.when(F.abs(away) == float("inf"), wide).otherwise(f32(away * f32(factor)).cast("double"))
+    return F.when((place > -2) & (place < BINS + 1), place.cast("int"))
 
 
 def with_range(blocks: DataFrame, ranges: DataFrame | None = None, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:

@@ -63,15 +63,31 @@ def first_error(statuses: Sequence[str], errors: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.col(s) != "ok", F.col(e)) for s, e in zip(statuses, errors)])
 
 
+def _fitted(k: int) -> Column:
+    """Samples of input ``k`` at the places of the first input; NULL where input ``k`` has no such pixel or band."""
+    own = F.col(f"pixels_{k}")
+    if k == 1:
+        return own
+    w, h, c = (F.col(f"{n}_1") for n in ("w", "h", "c"))
+    w_k, h_k, c_k = (F.col(f"{n}_{k}") for n in ("w", "h", "c"))
+
+    def sample(i: Column) -> Column:
+        band, x, y = i % c, F.floor(i / c) % w, F.floor(i / (c * w))
+        return F.when((x < w_k) & (y < h_k) & (band < c_k), F.get(own, ((y * w_k + x) * c_k + band).cast("int")))
+
+    moved = F.transform(F.sequence(F.lit(0), w * h * c - 1), sample)
+    return F.when(own.isNull() | ((w == w_k) & (h == h_k) & (c == c_k)), own).otherwise(moved)
+
+
 def run_scalar_program(aligned: DataFrame, program: str, count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
     """Evaluate a SQL expression over ``x1..xN`` for every sample, giving long-form samples.
 
     The samples of all inputs are unpacked side by side from one row, so nothing is joined
-    per pixel. The result has the size of the first input.
+    per pixel. The result has the size of the first input; an input has NULL where it has no such sample.
     """
     flat = aligned.select(
         *keys, "frame", F.col("w_1").alias("w"), F.col("c_1").alias("c"),
-        F.posexplode_outer(F.arrays_zip(*[F.col(f"pixels_{k}").alias(f"x{k}") for k in range(1, count + 1)])).alias("_i", "_v"),
+        F.posexplode_outer(F.arrays_zip(*[_fitted(k).alias(f"x{k}") for k in range(1, count + 1)])).alias("_i", "_v"),
     ).select(*keys, "frame", "w", "c", "_i", "_v.*")
     kept = flat.where(F.col("x1").isNotNull()).withColumn("v", F.expr(program).cast("float"))
     return kept.select(
@@ -86,7 +102,7 @@ def run_scalar_program(aligned: DataFrame, program: str, count: int, keys: Seque
 
 def run_packed_program(aligned: DataFrame, program: Callable[..., Column], count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
     """The same for a function of N value columns, keeping frames packed."""
-    zipped = F.arrays_zip(*[F.col(f"pixels_{k}").alias(f"x{k}") for k in range(1, count + 1)])
+    zipped = F.arrays_zip(*[_fitted(k).alias(f"x{k}") for k in range(1, count + 1)])
     pixels = F.transform(zipped, lambda t: program(*[t[f"x{k}"] for k in range(1, count + 1)]).cast("float"))
     size = [F.col(f"{n}_1").alias(n) for n in ("w", "h", "c")]
     return aligned.select(*keys, "frame", *size, pixels.alias("pixels"))
@@ -98,7 +114,9 @@ def run_vector_program(aligned: DataFrame, program: Callable[..., Column], count
     The number of output bands is decided by the program.
     """
     def vector(k: int, i: Column) -> Column:
-        return F.slice(F.col(f"pixels_{k}"), i * F.col(f"c_{k}") + 1, F.col(f"c_{k}"))
+        x, y = i % F.col("w_1"), F.floor(i / F.col("w_1")).cast("int")
+        own = F.slice(F.col(f"pixels_{k}"), (y * F.col(f"w_{k}") + x) * F.col(f"c_{k}") + 1, F.col(f"c_{k}"))
+        return F.when((x < F.col(f"w_{k}")) & (y < F.col(f"h_{k}")), own)
 
     pixel_numbers = F.sequence(F.lit(0), F.col("w_1") * F.col("h_1") - 1)
     out = F.transform(

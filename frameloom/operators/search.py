@@ -27,9 +27,10 @@ _SEPARATORS = frozenset(" _-.:,;|") | _SLASHES
 
 
 def may_match(text, pattern: str) -> Column:
-    """Cheap JVM-side test that the pattern's letters occur in order."""
+    """Cheap JVM-side test that the pattern's letters occur in order, in one pass without going back."""
     flags = "(?s)" if _case_matters(pattern) else "(?isu)"
-    return col(text).rlike(flags + ".*?".join(re.escape(letter) for letter in pattern))
+    letters = [re.escape(letter) if letter != "^" else r"\^" for letter in pattern]
+    return col(text).rlike(flags + "^" + "".join(f"[^{letter}]*+{letter}" for letter in letters))
 
 
 def _case_matters(pattern: str) -> bool:
@@ -122,13 +123,14 @@ def scored(names: DataFrame, column: str, pattern: str) -> DataFrame:
             {"score": pd.array([f[0] for f in found], dtype="Int64"), "positions": [f[1] for f in found]}
         )
 
-    hits = names.where(may_match(column, pattern)).withColumn("_hit", rate(F.col(column)))
+    once = rate.asNondeterministic()  # or the filter on the score would score a second time
+    hits = names.where(may_match(column, pattern)).withColumn("_hit", once(F.col(column)))
     return hits.where("_hit.score is not null").select(*names.columns, "_hit.score", "_hit.positions")
 
 
 def find_paths(paths: DataFrame, pattern: str, skip: int, take: int, column: str = "path") -> DataFrame:
     """Best paths first, equal scores in natural order; an empty pattern lists all paths in natural order."""
-    ranked = scored(paths, column, pattern).orderBy(F.desc("score"), natural_key(column), column)
+    ranked = scored(paths, column, pattern).orderBy(F.desc("score"), natural_key(column), column, *paths.columns)
     return ranked.offset(skip).limit(take)
 
 

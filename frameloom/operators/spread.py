@@ -35,13 +35,23 @@ def settle(df: DataFrame, stem: str = "settled") -> DataFrame:
 
 
 def is_small(settled: DataFrame) -> bool:
-    """Size check on a settled table: file bytes from the scan statistics, then rows from the footers.
+    """Size check on a settled table by rows and bytes of its texts, as they are in memory; files may be packed tightly.
 
-    Rows with distinct keys take at least a byte each even when compressed, so a table under
-    ``BROADCAST_ROWS`` bytes needs no count.
+    Tables with pixels or other nested values are never small.
     """
-    size = int(str(settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= BROADCAST_ROWS or (size <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS)
+    kinds = [f.dataType.typeName() for f in settled.schema.fields]
+    if {"array", "map", "struct", "binary"} & set(kinds):
+        return False
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f, kind in zip(settled.schema.fields, kinds) if kind == "string"]
+    told = settled.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("bigint")))).first()
+    return told[0] <= BROADCAST_ROWS and (told[1] or 0) <= BROADCAST_BYTES
+
+
+def join_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of the left side stay. ``small``: broadcast the right side."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(F.broadcast(named) if small else named, same, how).drop(*[f"_on_{c}" for c in on])
 
 
 def attach_by_key(
@@ -60,7 +70,7 @@ def attach_by_key(
     if not settled:
         dim = settle(dim, "dim")
     if is_small(dim):
-        return facts.join(F.broadcast(dim), list(on), how)
+        return join_keys(facts, dim, list(on), how, small=True)
     return hot_join(facts, dim, on, spread_on, how)
 
 
@@ -88,13 +98,11 @@ def hot_join(
         "hot",
     )
     if hot.isEmpty():
-        return facts.join(dim, on, how)
-    if is_small(hot):
-        hot = F.broadcast(hot)
+        return join_keys(facts, dim, on, how)
     reps = F.coalesce(F.col("_reps"), F.lit(1))
-    salted = facts.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_on), reps).cast("int"))
-    copies = dim.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), reps - 1)))
-    return salted.drop("_reps").join(copies.drop("_reps"), [*on, "_salt"], how).drop("_salt")
+    salted = join_keys(facts, hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_on), reps).cast("int"))
+    copies = join_keys(dim, hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), reps - 1)))
+    return join_keys(salted.drop("_reps"), copies.drop("_reps"), [*on, "_salt"], how).drop("_salt")
 
 
 def prefix_sum(
@@ -123,7 +131,7 @@ def prefix_sum(
     )
     inside = Window.partitionBy(*keys, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.join(starts, [*keys, "_slab"])
+        join_keys(cut, starts, [*keys, "_slab"])
         .withColumn(out, F.col("_start") + F.coalesce(F.sum("_val").over(inside), F.lit(0)))
         .drop("_slab", "_val", "_start")
     )

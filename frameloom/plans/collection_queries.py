@@ -29,6 +29,17 @@ def concat_frames(spark, folder):
     return seqs.concat(parts, "part").select("seq_id", "part", "source", "frame")
 
 
+@query(
+    "number_null_keys",
+    """WITH e AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN user_id % 7 END AS key FROM events)
+       SELECT event_id, key, CAST(row_number() OVER (PARTITION BY key ORDER BY event_id) - 1 AS BIGINT) AS frame FROM e""",
+)
+def number_null_keys(spark, folder):
+    """Frame numbers inside a key that is NULL for a third of the rows."""
+    events = table(spark, folder, "events").select("event_id", F.expr("CASE WHEN user_id % 3 > 0 THEN user_id % 7 END").alias("key"))
+    return number_rows(events, ["key"], ["event_id"])
+
+
 @query(
     "part_offsets",
     """SELECT l_suppkey AS seq_id, l_orderkey AS part, (sum(count(*)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - count(*))::BIGINT AS start

@@ -75,8 +75,8 @@ def stream_clock(spark, folder):
     """SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS period_start, count(*) AS n FROM events GROUP BY ALL""",
 )
 def stream_windows(spark, folder):
-    """Events per period of a very slow clock (one frame per hour), with bounded state."""
+    """Events per period of a very slow clock (one frame per hour)."""
     events = _stream(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    counted = ticks_per_window(events, 1 / 3600, "2 hours", ["event_type"])
+    counted = ticks_per_window(events, 1 / 3600, ["event_type"])
     flat = counted.select("event_type", F.unix_micros("period.start").alias("period_start"), "n")
     return run_to_table(flat, ["event_type", "period_start"])

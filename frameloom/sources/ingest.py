@@ -8,6 +8,7 @@ over tasks, each seeking to its own frames.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,15 @@ HEADER_BYTES = 4096
 RANGE_BYTES = 64 * 1024 * 1024
 
 
+def _header(source: BinaryIO) -> bytes:
+    """The first bytes of a file, and the whole header of an npy file however long it says it is."""
+    head = source.read(HEADER_BYTES)
+    if head[:6] == b"\x93NUMPY" and len(head) >= 12:
+        size = 10 + int.from_bytes(head[8:10], "little") if head[6] == 1 else 12 + int.from_bytes(head[8:12], "little")
+        head += source.read(max(0, size - len(head)))
+    return head
+
+
 def _layout(head: bytes, length: int, kind: str) -> tuple[np.dtype, int, int, int, int, int]:
     """Element type, frames, h, w, c and data offset of an array file."""
     if kind == "vpp":
@@ -84,7 +94,7 @@ def _heads(keys: list[str]):
             for row in batch.itertuples(index=False):
                 try:
                     with open_source(row[-1]) as source:
-                        head = source.read(HEADER_BYTES)
+                        head = _header(source)
                         rows.append((*row, source.seek(0, 2), head, None))
                 except UNREADABLE as problem:  # a value, not a failed job
                     rows.append((*row, None, None, str(problem)))
@@ -124,7 +134,7 @@ def _read_range(path: str, kind: str, start: int, count: int) -> Iterator[tuple[
         if kind not in ("npy", "vpp"):
             yield from _images(source.read(), kind)
             return
-        dtype, _, h, w, c, offset = _layout(source.read(HEADER_BYTES), source.seek(0, 2), kind)
+        dtype, _, h, w, c, offset = _layout(_header(source), source.seek(0, 2), kind)
         size = h * w * c * dtype.itemsize
         source.seek(offset + start * size)
         for i in range(start, start + count):
@@ -135,10 +145,14 @@ def _range_images(path: str, kind: str, start: int, count: int, problem: str | N
     if problem is not None:
         yield 0, failed(problem)
         return
+    after = start
     try:
-        yield from _read_range(path, kind, start, count)
-    except UNREADABLE as failure:
-        yield start, failed(str(failure))
+        for frame, image in _read_range(path, kind, start, count):
+            yield frame, image
+            after = frame + 1
+    except UNREADABLE as failure:  # one row for every frame that was not read
+        for frame in range(after, max(start + count, after + (after == start))):
+            yield frame, failed(str(failure))
 
 
 def _read(keys: list[str]):

@@ -120,7 +120,10 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for line, part, expression in zip(batch["line_no"], batch["part_no"], batch["expression"]):
-            hits = [e for pattern in expand_braces(expression) for e in _glob(pattern)]
+            try:
+                hits = [e for pattern in expand_braces(expression) for e in _glob(pattern)]
+            except UNREADABLE:  # such as a scheme that no file system serves
+                hits = []
             if hits:
                 rows.extend((line, part, path, path, kind, size, seen) for path, kind, size, seen in hits)
             else:

@@ -44,8 +44,8 @@ def clock_ticks(events: DataFrame, start: Column, fps: float) -> DataFrame:
     return events.withColumn("tick", ticks_elapsed(elapsed, fps))
 
 
-def ticks_per_window(events: DataFrame, fps: float, late: str, keys: Sequence[str]) -> DataFrame:
-    """Events per frame period, with a watermark that bounds the state."""
+def ticks_per_window(events: DataFrame, fps: float, keys: Sequence[str], late: str | None = None) -> DataFrame:
+    """Events per frame period. All rows count, however late; ``late`` bounds the state and drops rows later than that."""
     period = f"{round(1_000_000 / abs(fps))} microseconds"
-    timed = events.withWatermark("ts", late)
+    timed = events.withWatermark("ts", late) if late else events
     return timed.groupBy(*keys, F.window("ts", period).alias("period")).agg(F.count("*").alias("n"))
