@@ -29,7 +29,7 @@ END = b""  # the end of a text; no word is empty
 HEADS, MEMBERS = 32, 64  # classes of frequent words, and words in each
 TAILS = 32  # ranges of all other words
 CLASSES = HEADS + TAILS
-LISTED = 1 << 18  # words whose counts are broadcast; all others meet their counts in a join
+LISTED = 1 << 17  # words whose counts are broadcast; all others meet their counts in a join
 WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13, 1 << 13
 ROUNDS = 2  # the training documents are dealt into so many parts, one for each round of parallel updates
 STEP = 0.15
@@ -88,11 +88,31 @@ def _bucket(word: bytes) -> int:
     return WORD_ROWS // 2 + xxhash.xxh64_intdigest(word) % (WORD_ROWS // 2)
 
 
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most LISTED words, from the most frequent down to where the next level of counts would not fit; descending.
+
+    Levels are fixed steps of the logarithm, so the driver sees a few hundred sums and then the words it keeps.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r["level"]: r["kinds"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("kinds")).collect()}
+    room, lowest = LISTED, None
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at]
+        if room < 0:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    kept = counts.where(level >= lowest).select("word", "n").toArrow()
+    found = zip(kept.column("word").to_pylist(), kept.column("n").to_pylist())
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 def build_lexicon(counts: DataFrame) -> Lexicon:
     """From the settled counts: what the driver and the tasks hold is bounded by LISTED words."""
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, kinds = int(sums[0] or 0), int(sums[1])
-    listed = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(LISTED).collect()]
+    listed = _most_frequent(counts)
     frequent = sorted(listed[: HEADS * MEMBERS])
     rest = sorted(listed[HEADS * MEMBERS :])
     mass = np.cumsum([n for _, n in rest]) if rest else np.zeros(0)
