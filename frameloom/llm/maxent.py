@@ -166,9 +166,10 @@ def stream(lexicon: Lexicon, bodies: list[bytes]) -> Stream:
     code = np.concatenate([np.fromiter((look(w, -1) for w in f), np.int64, len(f)) for f in found])
     group, bucket = lexicon.group[code], lexicon.bucket[code]
     unlisted: list[list[bytes]] = [[] for _ in found]
-    for at in np.flatnonzero(code < 0).tolist():
-        doc = int(np.searchsorted(begin, at, side="right")) - 1
-        word = found[doc][at - int(begin[doc])]
+    missing = np.flatnonzero(code < 0)
+    owner = np.searchsorted(begin, missing, side="right") - 1
+    for at, doc, place in zip(missing.tolist(), owner.tolist(), (missing - begin[owner]).tolist()):
+        word = found[doc][place]
         unlisted[doc].append(word)
         group[at], bucket[at] = HEADS + bisect_right(lexicon.edges, word), _bucket(word)
     end = lexicon.bucket[look(END, 0)]
