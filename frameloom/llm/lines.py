@@ -59,7 +59,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), "gone"
     ).withColumnRenamed("gone", "_gone")
     own = docs.withColumn("_doc_key", document_key(doc_id, text))
-    joined = own.join(gone, (F.col("_doc_key") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    joined = own.join(gone.hint("merge"), (F.col("_doc_key") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     split = joined.withColumn("_lines", F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
