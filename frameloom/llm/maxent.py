@@ -185,28 +185,53 @@ def _member_rows(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
     return ((bucket * 0xC2B2AE3D + group * 0x27D4EB2F) >> 5) % MEMBER_ROWS
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``exp(x - top)`` in place of ``x``, its sum by row, and ``top``, the largest value of each row."""
+    top = x.max(axis=1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return x, np.einsum("ij->i", x), top
 
 
 def zero_tables() -> Tables:
     return {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
 
 
+def _summed(tables: Tables, rows: dict[str, np.ndarray], names: tuple[str, ...], bias: np.ndarray) -> np.ndarray:
+    x = np.take(tables[names[0]], rows[names[0]], axis=0, mode="clip")  # the rows are in range; this mode copies without a check
+    for name in names[1:]:
+        x += np.take(tables[name], rows[name], axis=0, mode="clip")
+    x += bias
+    return x
+
+
 def _batch(lexicon: Lexicon, tables: Tables, s: Stream, part: slice):
-    """Log probabilities of all classes, and of the members of the right class for frequent words."""
+    """Logits of all classes, and of the members of the right class for frequent words."""
     rows = {"word": s.word[part], "skip": s.skip[part], "pair": s.pair[part]}
-    classes = _log_softmax(tables["word"][rows["word"]] + tables["skip"][rows["skip"]] + tables["pair"][rows["pair"]] + lexicon.group_bias)
+    classes = _summed(tables, rows, ("word", "skip", "pair"), lexicon.group_bias)
     group, code = s.group[part], s.code[part]
     head = np.flatnonzero(group < HEADS)
     rows["member_word"] = _member_rows(rows["word"][head], group[head])
     rows["member_skip"] = _member_rows(rows["skip"][head], group[head])
-    members = _log_softmax(tables["member_word"][rows["member_word"]] + tables["member_skip"][rows["member_skip"]] + lexicon.member_bias[group[head]])
+    members = _summed(tables, rows, ("member_word", "member_skip"), lexicon.member_bias[group[head]])
     return rows, classes, members, group, head, code
 
 
+def _log_share(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of each row at its column; ``x`` is used up."""
+    own = x[np.arange(len(x)), column]
+    _, total, top = _powers(x)
+    return (own - top - np.log(total)).astype(np.float64) / np.log(10)
+
+
+def _gradient(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Softmax of each row less one at its column, in place of ``x``."""
+    _, total, _ = _powers(x)
+    x *= (1 / total)[:, None]
+    x[np.arange(len(x)), column] -= 1
+    return x
+
+
 def score_stream(lexicon: Lexicon, tables: Tables, s: Stream) -> np.ndarray:
     """log10 P of every token; words that are not listed lack their count's part."""
     out = np.zeros(len(s.code))
@@ -214,8 +239,8 @@ def score_stream(lexicon: Lexicon, tables: Tables, s: Stream) -> np.ndarray:
     for at in range(0, len(out), TOKENS):
         part = slice(at, min(at + TOKENS, len(out)))
         _, classes, members, group, head, code = _batch(lexicon, tables, s, part)
-        own = classes[np.arange(len(group)), group].astype(np.float64) / np.log(10)
-        own[head] += members[np.arange(len(head)), code[head] % per_class].astype(np.float64) / np.log(10)
+        own = _log_share(classes, group)
+        own[head] += _log_share(members, code[head] % per_class)
         tail = np.flatnonzero(group >= HEADS)
         own[tail] += np.where(code[tail] >= 0, lexicon.log_count[code[tail]], 0.0) - lexicon.tail_norm[group[tail] - HEADS]
         out[part] = own
@@ -229,8 +254,8 @@ def _per_class(lexicon: Lexicon) -> int:
 
 def _row_sums(row: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of a batch and the sums of their gradients: long runs one by one, short ones side by side."""
-    order = np.argsort(row, kind="stable")
-    sorted_rows, values = row[order], gradient[order]
+    order = np.argsort(row.astype(np.uint16), kind="stable")  # short integers are sorted by radix; every table has fewer rows
+    sorted_rows, values = row[order], np.take(gradient, order, axis=0, mode="clip")
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     size = np.diff(np.append(first, len(row)))
     total = values[first]
@@ -247,9 +272,10 @@ def _row_sums(row: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.nda
 def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
     """One step for the rows of a batch, each at its own rate."""
     names, total = _row_sums(row, gradient)
-    seen[names] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-    total *= (STEP / np.sqrt(seen[names] + 1e-8))[:, None]
-    table[names] -= total
+    sums = seen[names] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+    seen[names] = sums
+    total *= (STEP / np.sqrt(sums + 1e-8))[:, None]
+    table[names] = np.take(table, names, axis=0, mode="clip") - total
 
 
 def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
@@ -257,13 +283,11 @@ def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> N
     for at in range(0, len(s.code), TOKENS):
         part = slice(at, min(at + TOKENS, len(s.code)))
         rows, classes, members, group, head, code = _batch(lexicon, tables, s, part)
-        gradient = np.exp(classes)
-        gradient[np.arange(len(group)), group] -= 1
+        gradient = _gradient(classes, group)
         for name in ("word", "skip", "pair"):
             _descend(tables[name], seen[name], rows[name], gradient)
         if len(head):
-            gradient = np.exp(members)
-            gradient[np.arange(len(head)), code[head] % per_class] -= 1
+            gradient = _gradient(members, code[head] % per_class)
             for name in ("member_word", "member_skip"):
                 _descend(tables[name], seen[name], rows[name], gradient)
 
