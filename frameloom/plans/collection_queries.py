@@ -435,11 +435,11 @@ def lineage_key(spark, folder):
 
 @query(
     "image_by_key",
-    """SELECT event_id, 'image:' || (event_id % 300) AS key, p_name AS name FROM events LEFT JOIN part ON p_partkey = event_id % 300""",
+    """SELECT event_id, 'image:' || (event_id // 2) AS key, p_name AS name FROM events LEFT JOIN part ON p_partkey = event_id // 2""",
 )
 def image_by_key(spark, folder):
-    """Events ask for images by key; not every key is known."""
+    """Events ask for images by key, every key twice; not every key is known."""
     events, parts = table(spark, folder, "events"), table(spark, folder, "part")
-    requests = events.select("event_id", lineage.image_key((F.col("event_id") % 300).cast("string")).alias("key"))
+    requests = events.select("event_id", lineage.image_key(F.floor(F.col("event_id") / 2).cast("string")).alias("key"))
     images = parts.select(lineage.image_key(F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("name"))
     return lineage.images_by_key(requests, images).select("event_id", "key", "name")

@@ -288,16 +288,23 @@ def displayed_range(spark, folder):
     )
 
 
+def _named_frames(spark, folder):
+    """Every frame with the address of its page; frames without one are named by their number."""
+    paths = urls(spark, folder).withColumnRenamed("page_id", "frame")
+    named = img(spark, folder).join(paths, "frame", "left")
+    return named.withColumn("path", F.coalesce("path", F.concat(F.lit("unnamed "), F.col("frame").cast("string"))))
+
+
 @query(
     "frame_title",
-    """WITH d AS (SELECT e.label AS seq_id, e.vec_id, p.url,
+    """WITH d AS (SELECT e.label AS seq_id, e.vec_id, coalesce(p.url, 'unnamed ' || e.vec_id) AS url,
          row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) AS f, count(*) OVER (PARTITION BY e.label) AS n
-         FROM embeddings e JOIN pages p ON p.page_id = e.vec_id)
+         FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id)
        SELECT seq_id, vec_id AS source, '#' || (seq_id + 1) || ' [' || f || '/' || n || '] ' || right(url, 12) AS title,
               '8x8x1' AS size FROM d""",
 )
 def frame_title(spark, folder):
-    named = img(spark, folder).join(urls(spark, folder).withColumnRenamed("page_id", "frame"), "frame")
+    named = _named_frames(spark, folder)
     dense = numbered(named)
     from frameloom.operators.collections import with_length
 
@@ -311,16 +318,16 @@ def frame_title(spark, folder):
 
 @query(
     "frame_listing",
-    """WITH d AS (SELECT e.label AS seq_id, p.page_id, p.url AS path,
+    """WITH d AS (SELECT e.label AS seq_id, coalesce(p.url, 'unnamed ' || e.vec_id) AS path,
          row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) - 1 AS frame, count(*) OVER (PARTITION BY e.label) AS n
-         FROM embeddings e JOIN pages p ON p.page_id = e.vec_id)
+         FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id)
        SELECT seq_id, frame, path, frame = least(3, n - 1) AS is_current FROM d""",
 )
 def frame_listing(spark, folder):
     """File of every frame; the player stands at the fourth frame or the last."""
     from frameloom.operators.collections import held_index, with_length
 
-    named = img(spark, folder).join(urls(spark, folder).withColumnRenamed("page_id", "frame"), "frame")
+    named = _named_frames(spark, folder)
     return with_length(numbered(named)).select(
         "seq_id", "frame", "path", (F.col("frame") == held_index(F.lit(3), "len")).alias("is_current")
     )
