@@ -155,19 +155,20 @@ def blocks(root: Element) -> Iterator[tuple[Element, str]]:
             yield from flush()
 
 
-# A wrapper node is [key, optional, repeated, text, words, children]. text: None if there is none, a digest as long as all
-# texts agreed, "*" for a slot. A wrapper is {"pages": digests of a few different pages, "root": node}.
+# A wrapper node is [key, optional, repeated, text, words, children, pages]. text: None if there is none, a digest as long as
+# all texts agreed, "*" for a slot. pages: digests of a few different pages that carried this very text, none for a slot.
+# A wrapper is {"pages": digests of a few different pages, "root": node}.
 
 
 def _digest(text: str) -> str:
     return xxhash.xxh64_hexdigest(text)
 
 
-def _observed(node: Element, texts: dict[int, list[str]]) -> list:
+def _observed(node: Element, texts: dict[int, list[str]], page: str) -> list:
     own = texts.get(id(node), [])
     text = None if not own else _digest(own[0]) if len(own) == 1 else "*"
-    children = [_observed(c, texts) for c in node.children if isinstance(c, Element) and not c.outside and c.tag != "br"]
-    return [node.key, False, False, text, sum(t.count(" ") + 1 for t in own), _grouped(children)]
+    children = [_observed(c, texts, page) for c in node.children if isinstance(c, Element) and not c.outside and c.tag != "br"]
+    return [node.key, False, False, text, sum(t.count(" ") + 1 for t in own), _grouped(children), [page] if text not in (None, "*") else []]
 
 
 def _grouped(nodes: list[list]) -> list[list]:
@@ -187,6 +188,7 @@ def _grouped(nodes: list[list]) -> list[list]:
 def _aligned(a: list, b: list) -> list:
     """Align two nodes with the same key; what only one side has becomes optional."""
     text = a[3] if a[3] == b[3] else "*"
+    pages = sorted({*a[6], *b[6]})[:TEMPLATE_PAGES] if text != "*" else []
     left, right = a[5], b[5]
     keys_a, keys_b = [n[0] for n in left], [n[0] for n in right]
     if keys_a == keys_b:
@@ -199,7 +201,7 @@ def _aligned(a: list, b: list) -> list:
             else:
                 children += [[n[0], True, *n[2:]] for n in left[i:j] + right[k:m]]
         children = _grouped(children)
-    return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], children]
+    return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], children, pages]
 
 
 def observe(page: str) -> dict:
@@ -207,7 +209,8 @@ def observe(page: str) -> dict:
     texts: dict[int, list[str]] = {}
     for owner, text in blocks(root):
         texts.setdefault(id(owner), []).append(text)
-    return {"pages": [_digest(page)], "root": _observed(root, texts)}
+    own = _digest(page)
+    return {"pages": [own], "root": _observed(root, texts, own)}
 
 
 def align(a: dict, b: dict) -> dict:
@@ -232,7 +235,7 @@ def rules(wrapper: dict) -> dict:
     """``{"inside": path or "", "template": [[path, digest], ...]}`` for a host.
 
     The article is the first article or main element of the wrapper, else the innermost element that holds most of its
-    text. Template is a text on which enough different pages agree, unless it would take most of the article with it:
+    text. Template is a text that enough different pages carry in that element, unless it would take most of the article with it:
     then the pages are copies of each other and nothing is template.
     """
     node, found = wrapper["root"], None
@@ -252,12 +255,11 @@ def rules(wrapper: dict) -> dict:
     while todo:
         top = todo.pop()
         words += top[4]
-        if top[3] not in (None, "*"):
+        if top[3] not in (None, "*") and len(top[6]) >= TEMPLATE_PAGES:
             template.append([top[0], top[3]])
             fixed += top[4]
         todo += top[5]
-    agreed = len(wrapper["pages"]) >= TEMPLATE_PAGES and 2 * fixed < words
-    return {"inside": found[0], "template": sorted(template) if agreed else []}
+    return {"inside": found[0], "template": sorted(template) if 2 * fixed < words else []}
 
 
 def extract(page: str, host: dict) -> str:

@@ -358,6 +358,18 @@ def test_wrapper_alignment():
     assert expression(wrapper["root"]) == "<body><ul>(<li>#</li>)+</ul>(<div>text</div>)?<p>#</p><em>text</em></body>"
 
 
+def test_texts_of_one_page_are_no_template():
+    pages = [f"<article><p>own text {i} of this page</p><p>and more {i} of it</p><div>Read more stories</div></article>" for i in range(6)]
+    rare = "<article><p>A has a few words</p><blockquote>Q</blockquote><p>B has a few words</p><div>Read more stories</div></article>"
+    wrapper = observe(rare)
+    for page in pages:
+        wrapper = align(wrapper, observe(page))
+    assert extract(rare, rules(wrapper)) == "A has a few words\nQ\nB has a few words"
+    assert extract(pages[0], rules(wrapper)) == "own text 0 of this page\nand more 0 of it"
+    again = align(observe(rare), observe(rare))
+    assert "Q" in extract(rare, rules(align(wrapper, again)))
+
+
 def test_extract_keeps_the_article_only():
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
     <header>no</header><nav><ul><li>no</li></ul></nav><div class="cookie-notice">no</div><!-- no --><div class="layout sidebar-left"><article>
