@@ -240,6 +240,12 @@ def test_language_model_scores(table, docs, nothing, monkeypatch):
     assert maxent.score_documents(nothing, F.lit(True)).count() == 0
 
 
+def test_context_decides_for_4096_words(table):
+    source = table("body string", [(" ".join(f"w{i}" for i in range(6000)),)]).select(F.col("body").cast("binary").alias("body"))
+    lexicon = maxent.build_lexicon(maxent.count_tokens(source).cache())
+    assert (lexicon.group < maxent.HEADS).sum() == 4096 and len(np.unique(lexicon.bucket)) > 4096
+
+
 def test_language_model_is_a_distribution(table):
     rng = random.Random(1)
     rows = [(i, some_words(rng, 50, 5000)) for i in range(200)]
