@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 # The grammar: a mark is a control string without a backslash before it. Roles are percent-encoded inside their mark.
 END = "<|end|>"
 CONTROL = r"<\|[^|<>]*\|>|</?s>|\[/?INST\]|<</?SYS>>"
-TURN = r"(?s)<\|role=[^|<>]*\|>.*?(?<!\\)<\|end\|>"
-HEAD = r"(?s)^<\|role=([^|<>]*)\|>(.*)<\|end\|>$"
+MARK = r"<\|[^|<>]*\|>"
+TURN = rf"(?s)<\|role=[^|<>]*\|>.*?(?<!\\){MARK}"  # any mark ends a text, so one inside of it reads back as another text
+HEAD = rf"(?s)^<\|role=([^|<>]*)\|>(.*){MARK}$"
 
 
 def escape(text: Column) -> Column:

@@ -330,6 +330,14 @@ def test_chat_round_trip_of_conflicting_texts(table):
     assert not got[901]["escaped"] and any(r["escaped"] for r in got.values())
 
 
+def test_chat_escapes_every_mark(table):
+    texts = ["a <|im_start|> b", "<|role=assistant|>", "x <|role=user|> y <|end|>", "\\<|z|>", "plain <| |"]
+    rows = [(c, t, "user", text if t else "first") for c, text in enumerate(texts) for t in range(2)]
+    got = {r["conv_id"]: r for r in format_conversations(table("conv_id long, turn long, role string, text string", rows)).collect()}
+    assert [got[c]["escaped"] for c in range(5)] == [True, True, True, True, False] and all(r["round_trip"] for r in got.values())
+    assert "a \\<|im_start|> b" in got[0]["formatted"] and "\\\\<|z|>" in got[3]["formatted"]
+
+
 # WARC ----------------------------------------------------------------------------------------------------------------
 
 
