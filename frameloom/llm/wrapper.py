@@ -231,11 +231,29 @@ def _total(node: list) -> int:
     return node[4] + sum(map(_total, node[5]))
 
 
+def _is_template(node: list) -> bool:
+    return node[3] not in (None, "*") and len(node[6]) >= TEMPLATE_PAGES
+
+
+def _fixed(node: list) -> int:
+    return (node[4] if _is_template(node) else 0) + sum(map(_fixed, node[5]))
+
+
+def _inner(node: list) -> list | None:
+    """The child that holds most of the text, if all text beside it is template."""
+    total, fixed = _total(node), _fixed(node)
+    for child in node[5]:
+        held = _total(child)
+        if child[5] and 2 * fixed < total and held >= BODY_SHARE * total and total - held == fixed - _fixed(child):
+            return child
+    return None
+
+
 def rules(wrapper: dict) -> dict:
     """``{"inside": path or "", "template": [[path, digest], ...]}`` for a host.
 
     The article is the first article or main element of the wrapper, else the innermost element that holds most of its
-    text. Template is a text that enough different pages carry in that element, unless it would take most of the article with it:
+    text and has nothing but template beside it. Template is a text that enough different pages carry in that element, unless it would take most of the article with it:
     then the pages are copies of each other and nothing is template.
     """
     node, found = wrapper["root"], None
@@ -246,16 +264,16 @@ def rules(wrapper: dict) -> dict:
             found = top
         todo += top[5]
     if found is None:
-        found, total = node, _total(node)
-        while inner := [c for c in found[5] if total and _total(c) >= BODY_SHARE * total and c[5]]:
-            found = inner[0]
+        found = node
+        while inner := _inner(found):
+            found = inner
     template: list = []
     words = fixed = 0
     todo = [found]
     while todo:
         top = todo.pop()
         words += top[4]
-        if top[3] not in (None, "*") and len(top[6]) >= TEMPLATE_PAGES:
+        if _is_template(top):
             template.append([top[0], top[3]])
             fixed += top[4]
         todo += top[5]

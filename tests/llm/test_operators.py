@@ -384,6 +384,16 @@ def test_texts_of_one_page_are_no_template():
     assert "Q" in extract(rare, rules(align(wrapper, again)))
 
 
+def test_text_beside_the_body_stays():
+    page = "<body><div class='intro'><h1>Head {0}</h1><p>lead {0}</p></div><div class='text'><p>{1}</p><p>end {0}</p></div><div class='end'><p>All rights</p></div></body>"
+    pages = [page.format(i, f"words{i} " * 40) for i in range(5)]
+    wrapper = observe(pages[0])
+    for p in pages[1:]:
+        wrapper = align(wrapper, observe(p))
+    assert extract(pages[2], rules(wrapper)).split("\n")[:2] == ["Head 2", "lead 2"] and "All rights" not in extract(pages[2], rules(wrapper))
+    assert extract(pages[0], rules(observe(pages[0]))).startswith("Head 0\nlead 0\n")
+
+
 def test_extract_keeps_the_article_only():
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
     <header>no</header><nav><ul><li>no</li></ul></nav><div class="cookie-notice">no</div><!-- no --><div class="layout sidebar-left"><article>
