@@ -8,15 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.llm.align import align_tokenizers
 from frameloom.llm.chat import format_conversations, loss_text
 from frameloom.llm.common import remainder, table
 from frameloom.llm.decontaminate import contamination, matches
 from frameloom.llm.lines import remove_repeats
 from frameloom.llm.maxent import score_documents
+from frameloom.llm.merkle import manifest
 from frameloom.llm.mixing import mix
 from frameloom.llm.rules import judge
 from frameloom.llm.simhash import near_duplicates
 from frameloom.llm.toxicity import score_toxicity
+from frameloom.llm.urls import judge_urls
 from frameloom.llm.warc import archive_pages, page_records, read_archives
 from frameloom.llm.wrapper import main_text
 from frameloom.operators.spread import task_count
@@ -201,3 +204,138 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged, _ = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokenizers(table(spark, folder, "documents"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]  # fixed
+
+URL_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         coalesce(regexp_extract(url, '^(.*?)://', 1, 's'), '') AS scheme,
+         coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '') AS query
+  FROM pages
+), given(verdict, rule) AS (
+  VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')
+), spelled AS (
+  SELECT verdict, rule, split_part(rule, '/', 1) AS name, substr(rule, strpos(rule, '/')) AS start FROM given
+), fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN spelled ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id
+), ends AS (
+  SELECT page_id, host, path, scheme, query, string_split(host, '.') AS labels,
+         translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM parts
+), pieces AS (
+  SELECT page_id, 's:' || scheme AS token FROM ends
+  UNION ALL SELECT page_id, 'h:' || host FROM ends WHERE host <> ''
+  UNION ALL SELECT page_id, 'h:' || array_to_string(labels[len(labels) - k + 1:], '.') AS token
+            FROM ends, (VALUES (1), (2), (3)) AS v(k) WHERE len(labels) >= k AND array_to_string(labels[len(labels) - k + 1:], '.') <> ''
+  UNION ALL SELECT page_id, 'w:' || CASE WHEN regexp_full_match(w, '[0-9]+') THEN '0' ELSE w END FROM (SELECT page_id, unnest(regexp_extract_all(host, '[a-z0-9]+')) AS w FROM ends)
+  UNION ALL SELECT page_id, 'p:' || CASE WHEN regexp_full_match(w, '[0-9]+') THEN '0' ELSE w END FROM (SELECT page_id, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS w FROM ends)
+  UNION ALL SELECT page_id, 'q:' || w FROM (SELECT page_id, unnest(string_split(query, '&')) AS w FROM ends) WHERE w <> ''
+), tokens AS (
+  SELECT DISTINCT page_id, token FROM pieces
+), wanted AS (
+  SELECT ceil(CAST(0.02 AS DOUBLE) * count(*)) AS least FROM fits
+), blocked AS (
+  SELECT coalesce(list(page_id), []) AS rows FROM fits WHERE verdict = 'block'
+), held AS (
+  SELECT token, list(page_id ORDER BY page_id) AS rows FROM tokens JOIN fits USING (page_id) GROUP BY token
+), items AS (
+  SELECT min(token) AS item, list(token) AS tokens, rows FROM held WHERE len(rows) >= (SELECT least FROM wanted) GROUP BY rows
+), sets AS (
+  SELECT [item] AS items, item AS last, rows FROM items
+  UNION ALL
+  SELECT list_append(s.items, i.item), i.item, list_intersect(s.rows, i.rows)
+  FROM sets s JOIN items i ON i.item > s.last WHERE len(list_intersect(s.rows, i.rows)) >= (SELECT least FROM wanted)
+), counted AS (
+  SELECT items, len(rows) AS n, len(list_intersect(rows, (SELECT rows FROM blocked))) AS n_block FROM sets
+), rules AS (
+  SELECT items, 'block' AS verdict, n_block AS support, n_block / n AS confidence FROM counted
+  UNION ALL SELECT items, 'allow', n - n_block, (n - n_block) / n FROM counted
+), kept AS (
+  SELECT * FROM rules WHERE support >= (SELECT least FROM wanted) AND confidence >= 0.8
+), own AS (
+  SELECT t.page_id, list(DISTINCT i.item) AS items
+  FROM tokens t JOIN (SELECT item, unnest(tokens) AS token FROM items) i USING (token) WHERE t.page_id NOT IN (SELECT page_id FROM fits) GROUP BY t.page_id
+), mined AS (
+  SELECT page_id, arg_max(verdict, {'c': confidence, 's': support, 'b': verdict = 'block'}) AS verdict
+  FROM own JOIN kept ON list_has_all(own.items, kept.items) GROUP BY page_id
+), usual AS (
+  SELECT CASE WHEN count(*) FILTER (verdict = 'block') > count(*) FILTER (verdict = 'allow') THEN 'block' ELSE 'allow' END AS verdict FROM fits
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, m.verdict, (SELECT verdict FROM usual)) AS verdict
+FROM parts p LEFT JOIN fits f USING (page_id) LEFT JOIN mined m USING (page_id)
+"""
+
+
+@query("op12_url_filters", URL_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = judge_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE coded AS (
+  SELECT *, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM documents
+), crc AS (
+  SELECT * EXCLUDE (bytes), xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT)))) AS code
+  FROM coded
+), told AS (
+  SELECT doc_id, lang, code % 7 = 0 AND n_chars IS NOT NULL AS tampered,
+         concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END,
+                CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+                CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END) AS before,
+         CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END AS chars,
+         CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen((n_chars + 1)::VARCHAR), ':', n_chars + 1) END AS more,
+         CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS after
+  FROM crc
+), leaves AS (
+  SELECT doc_id, lang, sha256(before || chars || after) AS leaf, sha256(before || CASE WHEN tampered THEN more ELSE chars END || after) AS claim,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM told
+), nodes AS (
+  SELECT 0 AS k, lang, i AS j, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT k + 1, lang, j // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY j)) FROM nodes WHERE n > 1 GROUP BY k, lang, j // 2, n
+), subroots AS (
+  SELECT lang, d AS subroot, k AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS m FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS k, t AS j, m AS n, subroot AS d FROM subroots
+  UNION ALL
+  SELECT k + 1, j // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY j)) FROM tops WHERE n > 1 GROUP BY k, j // 2, n
+), steps AS (
+  SELECT l.doc_id, s.k, s.d, s.j < (l.i >> s.k) AS before
+  FROM leaves l JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.j = xor(l.i >> s.k, 1) AND s.n > 1
+  UNION ALL
+  SELECT l.doc_id, r.height + s.k, s.d, s.j < (r.t >> s.k)
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN tops s ON s.j = xor(r.t >> s.k, 1) AND s.n > 1
+), ways AS (
+  SELECT l.doc_id, l.leaf, l.claim, r.subroot, (SELECT d FROM tops WHERE n = 1) AS root, r.height + (SELECT max(k) FROM tops) AS height
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+), folded AS (
+  SELECT doc_id, 0 AS k, claim AS d, height FROM ways
+  UNION ALL
+  SELECT f.doc_id, f.k + 1, sha256(CASE WHEN s.d IS NULL THEN f.d WHEN s.before THEN s.d || f.d ELSE f.d || s.d END), f.height
+  FROM folded f LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k WHERE f.k < f.height
+), proofs AS (
+  SELECT doc_id, string_agg(d, '' ORDER BY k) AS all_d FROM steps GROUP BY doc_id
+)
+SELECT w.doc_id, w.leaf, w.subroot, w.root, sha256(coalesce(p.all_d, '')) AS proof_sha256, f.d AS folded_root, f.d = w.root AS verified
+FROM ways w JOIN folded f ON f.doc_id = w.doc_id AND f.k = w.height LEFT JOIN proofs p ON p.doc_id = w.doc_id
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    tampered = F.when(remainder("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows, _, _ = manifest(documents, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": tampered})
+    return rows.drop("path")
