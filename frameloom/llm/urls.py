@@ -88,14 +88,14 @@ def item_sets(urls: DataFrame, items: DataFrame) -> DataFrame:
     return listed.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def mine_rules(labelled: DataFrame, items: DataFrame, total: int, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, items: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``labelled(row, tokens, label)`` -> ``(items, verdict, support, confidence)``, pruned.
 
     ``support`` is the number of labelled rows with the items and the label, ``confidence`` their share of the rows with the
     items. A rule goes if a part of its items gives a rule that comes before it (`_rank`), since it would never decide.
     """
-    sets = item_sets(labelled, items).join(labelled.select("row", "label"), "row")
-    baskets = sets.select(F.concat("items", F.array(F.concat(F.lit("="), "label"))).alias("items"))
+    sets = labelled.select("row", "label").join(item_sets(labelled, items), "row", "left")
+    baskets = sets.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(settle(baskets, "baskets"))
     is_label = lambda i: i.startswith("=")
     split = model.freqItemsets.select(
@@ -162,7 +162,7 @@ def judge_urls(
     most = sorted(sizes, key=sizes.get, reverse=True)
     usual = default if not most or len(most) > 1 and sizes[most[0]] == sizes[most[1]] else most[0]
     items = settle(token_items(labelled, max(1, -int(-min_support * total // 1))), "items")
-    mined = mine_rules(labelled, items, total, min_support, min_confidence)
+    mined = mine_rules(labelled, items, min_support, min_confidence)
     index = settle(rule_index(mined, items), "rule-index")
     sets = settle(item_sets(judged.where("told IS NULL"), items), "item-sets")
     decided = settle(look_up(sets.select("items"), index), "decided")

@@ -65,5 +65,5 @@ def test_near_copies_with_changed_words_go(spark, table):
 
 def test_query_is_registered():
     assert "pipeline" in driver.queries()
-    assert {n.split("_")[0] for n in driver.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in driver.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert score_toxicity
