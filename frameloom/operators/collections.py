@@ -89,8 +89,9 @@ def align(inputs: Sequence[DataFrame], payload: Sequence[str], keys: Sequence[st
     """Align N collections; shorter ones repeat their last frame up to the longest length.
 
     Output columns are the keys, ``frame`` and ``<payload>_<k>`` for input k = 1..N. Groups
-    missing from an input are left out. Frames meet by an equi-join on (key, frame), whose
-    keys are unique. Only frames past an input's end need its last frame (a pinned input is held
+    missing from an input are left out. The frame numbers of a group follow from its lengths; every input meets them by
+    an equi-join on (key, frame), whose keys are unique, and which keeps them where they are: each input is shuffled once
+    and what has met is not shuffled again. Only frames past an input's end need its last frame (a pinned input is held
     by every frame of a group), see :func:`_hold_last`.
     """
     keys = list(keys)
@@ -104,10 +105,9 @@ def align(inputs: Sequence[DataFrame], payload: Sequence[str], keys: Sequence[st
         present = present.join(lengths(side, keys, f"_len{k}"), keys)
     present = settle(present.withColumn("_longest", _largest([F.col(f"_len{k}") for k in numbers])), "lengths")
 
-    met = sides[0]
-    for side in sides[1:]:
-        met = met.join(side, [*keys, "frame"], "full_outer")
-    met = attach_by_key(met, present, keys, [*keys, "frame"], settled=True)
+    met = _numbers(present)
+    for side in sides:
+        met = met.join(side, [*keys, "frame"], "left")
     small = is_small(present)
     shorter = present.agg(*[F.max(F.col("_longest") > F.col(f"_len{k}")) for k in numbers]).first()
     for k, side in zip(numbers, sides):
@@ -118,6 +118,15 @@ def align(inputs: Sequence[DataFrame], payload: Sequence[str], keys: Sequence[st
     return met.select(*keys, "frame", *columns)
 
 
+def _numbers(present: DataFrame) -> DataFrame:
+    """The frame numbers of every group up to its longest input, unfolded in two steps."""
+    step = 1 << 16
+    firsts = F.sequence(F.lit(0).cast("bigint"), F.col("_longest") - 1, F.lit(step).cast("bigint"))
+    blocks = present.where("_longest > 0").withColumn("_first", F.explode(firsts))
+    inside = F.sequence(F.col("_first"), F.least(F.col("_first") + (step - 1), F.col("_longest") - 1))
+    return blocks.withColumn("frame", F.explode(inside)).drop("_first")
+
+
 def _largest(columns: Sequence[Column]) -> Column:
     return F.greatest(*columns) if len(columns) > 1 else columns[0]
 

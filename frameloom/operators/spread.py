@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from frameloom.session import fresh_folder
@@ -34,15 +35,25 @@ def settle(df: DataFrame, stem: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _plain_fields(schema: StructType, above: str = "") -> Iterator[tuple[str, str]]:
+    """Path and type of every field, those of structs instead of the struct."""
+    for f in schema.fields:
+        name = f"{above}`{f.name}`"
+        if isinstance(f.dataType, StructType):
+            yield from _plain_fields(f.dataType, f"{name}.")
+        else:
+            yield name, f.dataType.typeName()
+
+
 def is_small(settled: DataFrame) -> bool:
     """Size check on a settled table by rows and bytes of its texts, as they are in memory; files may be packed tightly.
 
-    Tables with pixels or other nested values are never small.
+    Tables with pixels or other values of any length are never small.
     """
-    kinds = [f.dataType.typeName() for f in settled.schema.fields]
-    if {"array", "map", "struct", "binary"} & set(kinds):
+    flat = list(_plain_fields(settled.schema))
+    if {"array", "map", "binary", "variant"} & {kind for _, kind in flat}:
         return False
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f, kind in zip(settled.schema.fields, kinds) if kind == "string"]
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in flat if kind == "string"]
     told = settled.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("bigint")))).first()
     return told[0] <= BROADCAST_ROWS and (told[1] or 0) <= BROADCAST_BYTES
 

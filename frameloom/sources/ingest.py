@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.operators.collections import concat
 from frameloom.operators.spread import task_count
 from frameloom.sources import codecs
 from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, typed
-from frameloom.sources.listing import UNREADABLE, list_sources, open_source
+from frameloom.sources.listing import UNREADABLE, open_source
 from frameloom.sources.sniff import file_format
 
 HEADER_BYTES = 4096
@@ -185,15 +184,16 @@ def read_files(paths: DataFrame, keys: Sequence[str], range_bytes: int = RANGE_B
 
 
 def load_sequences(lines: DataFrame, column: str = "expression") -> DataFrame:
-    """Frames of every expression (``line_no``, text): list, decode, and number them end to end."""
-    listed = list_sources(lines, column).withColumnRenamed("frame", "file_no")
-    frames = read_files(listed, ["line_no", "file_no"]).withColumnRenamed("local_frame", "frame")
-    return concat(frames, "file_no", ["line_no"]).withColumnRenamed("line_no", "seq_id")
+    """Frames of every expression (``line_no``, text): list, number them end to end by their headers, read each once."""
+    from frameloom.sources.frame_index import fetch, index_sequences
 
+    return fetch(index_sequences(lines, column), ["seq_id"])
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """JPEG and 8-bit PNG files through Spark's own image reader, as RGB frames with status."""
-    image = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+
+def read_images(spark: SparkSession, path: str | list[str], names: str | None = None) -> DataFrame:
+    """JPEG and 8-bit PNG files through Spark's own image reader, as RGB frames with status; ``names`` is a pattern of file names."""
+    reader = spark.read.format("image").option("dropInvalid", "false")
+    image = (reader.option("pathGlobFilter", names) if names else reader).load(path).select("image.*")
 
     @F.pandas_udf("array<float>")
     def unpack(data: pd.Series, channels: pd.Series) -> pd.Series:

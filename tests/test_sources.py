@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frameloom.operators import collections
 from frameloom.sinks.export import array_files
-from frameloom.sources import codecs, ingest, listing
+from frameloom.sources import codecs, frame_index, ingest, listing
 from frameloom.sources.archive import members, ordered_members, zip_bytes
 
 
@@ -302,3 +303,54 @@ def test_archive_members_in_natural_order(spark):
     assert [(r.k, r.frame, r.member, len(r.content)) for r in got] == [
         (1, 0, "d/f1.png", 3), (1, 1, "d/f9.png", 2), (1, 2, "d/f10.png", 1), (2, 0, "only", 1000),
     ]
+
+
+def _jpeg(spark, path, rgb):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(6, 4, 1)
+    for x in range(6):
+        for y in range(4):
+            picture.setRGB(x, y, rgb)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(path)))
+
+
+def test_jpegs_are_frames_of_a_sequence(spark, tmp_path):
+    _jpeg(spark, tmp_path / "f1.jpg", 0xC83214)
+    _jpeg(spark, tmp_path / "f10.jpeg", 0x0A0A0A)
+    (tmp_path / "f2.png").write_bytes(codecs.png_bytes(np.full((4, 6, 3), 9, np.uint8)))
+    (tmp_path / "f3.jpg").write_bytes(b"\xff\xd8\xffbroken")
+    (tmp_path / "other.jpg").write_bytes(b"\xff\xd8\xffnot asked for")
+    line = spark.createDataFrame([(0, f"{tmp_path}/f*::{tmp_path}/f1.jpg")], "line_no bigint, expression string")
+    rows = ingest.load_sequences(line).orderBy("frame").collect()
+    assert [(r.frame, r.status) for r in rows] == [(0, "ok"), (1, "ok"), (2, "error"), (3, "ok"), (4, "ok")]
+    for k, want in ((0, [200, 50, 20]), (1, [9, 9, 9]), (3, [10, 10, 10]), (4, [200, 50, 20])):
+        assert (rows[k].w, rows[k].h, rows[k].c) == (6, 4, 3)
+        assert np.abs(np.array(rows[k].pixels).reshape(4, 6, 3) - want).max() <= 6
+
+
+def test_an_index_decodes_each_frame_once(spark, tmp_path):
+    video = np.random.default_rng(9).normal(size=(40, 3, 4, 1)).astype(np.float32)
+    for k in range(4):
+        (tmp_path / f"a{k}.npy").write_bytes(_npy(video[10 * k : 10 * k + 10]))
+    (tmp_path / "b.png").write_bytes(codecs.png_bytes(np.full((3, 4, 1), 5, np.uint8)))
+    (tmp_path / "cut.npy").write_bytes(_npy(video[:3])[:-20])
+    lines = [(0, f"{tmp_path}/a*.npy"), (1, f"{tmp_path}/b.png"), (2, f"{tmp_path}/cut.npy::{tmp_path}/gone.npy")]
+    index = frame_index.index_sequences(spark.createDataFrame(lines, "line_no bigint, expression string")).cache()
+    assert [r["n"] for r in index.groupBy("seq_id").agg(F.count("*").alias("n")).orderBy("seq_id").collect()] == [40, 1, 4]
+    assert index.where("seq_id = 0 AND frame = 13").select("place.*").first()["offset"] == 128 + 3 * 48
+
+    def of(k):
+        return index.where(F.col("seq_id") == k).withColumn("seq_id", F.lit(0))
+
+    aligned = collections.align([of(0), collections.shift(of(0), -1), of(1)], ["place"])
+    reads = spark.sparkContext.accumulator(0)
+    tasks = frame_index.tasks_for(spark, 0)
+    rows = frame_index.fetch_aligned(aligned, 3, reads=reads).orderBy("frame").collect()
+    assert len(rows) == 41 and 41 <= reads.value <= 41 + 2 * tasks  # 40 frames and one picture, and once more where tasks meet
+    for r in rows:
+        np.testing.assert_array_equal(np.array(r.pixels_1, np.float32), video[min(r.frame, 39)].reshape(-1))
+        np.testing.assert_array_equal(np.array(r.pixels_2, np.float32), video[max(r.frame - 1, 0)].reshape(-1))
+        assert set(r.pixels_3) == {5.0} and r.status_1 == r.status_2 == r.status_3 == "ok"
+    failed = frame_index.fetch(of(2), ["seq_id"]).orderBy("frame").collect()
+    assert [r.status for r in failed] == ["ok", "ok", "error", "error"]
+    assert frame_index.fetch(of(7), ["seq_id"]).count() == 0
