@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.functions.numeric import col, explode_computed, f32, finite, lit32
-from frameloom.model import FRAME_KEYS, origin, to_samples
-from frameloom.operators.pixels import blocks_touching, in_region
+from frameloom.functions.numeric import col, f32, finite, lit32
+from frameloom.model import FRAME_KEYS, to_samples
+from frameloom.operators import dense
+from frameloom.operators.dense import BINS
+from frameloom.operators.pixels import blocks_touching
 from frameloom.operators.spread import attach_by_key
 from frameloom.operators.stats import block_high, block_low
 
-BINS = 256  # fixed value: number of histogram bins
-
-
 def bin_factor(low, high) -> Column:
     """Bins per unit in float32; 0 for a constant image, which puts every sample in bin 0."""
     span = f32(f32(high) - f32(low))
@@ -24,12 +23,18 @@ def bin_factor(low, high) -> Column:
     return F.when(span == float("inf"), f32(wide)).when(span > 0, f32(lit32(BINS - 1) / span)).otherwise(lit32(0.0))
 
 
+#: Bins per unit up to which a range is wider than float32 can tell; its bins are placed in double.
+WIDE_FACTOR = (BINS - 1) / 3.4028234663852886e38
+
+
 def bin_of(v, low, factor) -> Column:
-    """Truncating bin number; only a sample equal to the maximum reaches the last bin. NULL far outside of the range."""
-    away = f32(f32(v) - f32(low))
+    """Truncating bin number; only a sample equal to the maximum reaches the last bin. NULL far outside of the range.
+
+    Whether to count in float32 or in double is the range's choice, told by its factor, so a sample is placed once.
+    """
     wide = (col(v).cast("double") - col(low).cast("double")) * col(factor).cast("double")
-    place = F.when(F.abs(away) == float("inf"), wide).otherwise(f32(away * f32(factor)).cast("double"))
-    return F.when((place > -2) & (place < BINS + 1), place.cast("int"))
+    narrow = f32(f32(f32(v) - f32(low)) * f32(factor)).cast("double")
+    return F.when((f32(factor) > 0) & (f32(factor) <= lit32(WIDE_FACTOR)), wide).otherwise(narrow).try_cast("int")
 
 
 def with_range(blocks: DataFrame, ranges: DataFrame | None = None, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
@@ -53,40 +58,8 @@ def count_bins(samples: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFram
 
 
 def count_bins_in_rows(frames: DataFrame, region: str | None = None, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
-    """The same for whole frames that carry ``low, high``: counted inside each row, no shuffle.
-
-    Each sample becomes ``band * 256 + bin``; the sorted codes are cut into runs.
-    """
-    codes = F.sort_array(F.filter(F.transform("pixels", lambda v, i: _code(v, i, region)), lambda k: k.isNotNull()))
-    coded = frames.withColumn("_factor", bin_factor("low", "high")).withColumn("_codes", codes)
-    # No filter on these columns: it would move below and compute them all over again.
-    index = F.when(F.size("_codes") > 0, F.sequence(F.lit(0), F.size("_codes") - 1))
-    starts = F.filter(index, lambda k: (k == 0) | (F.get("_codes", k) != F.get("_codes", k - 1)))
-    cut = coded.select(*keys, "_codes", starts.alias("_starts"))
-    runs = F.transform(
-        "_starts",
-        lambda k, j: F.struct(
-            F.get("_codes", k).alias("code"),
-            (F.coalesce(F.get("_starts", j + 1), F.size("_codes")) - k).alias("n"),
-        ),
-    )
-    code = F.col("_run.code")
-    return explode_computed(cut, runs, "_run", keys).select(
-        *keys,
-        F.shiftright(code, 8).alias("band"),
-        code.bitwiseAND(BINS - 1).alias("bin"),
-        F.col("_run.n").cast("bigint").alias("n"),
-    )
-
-
-def _code(v: Column, i: Column, region: str | None) -> Column:
-    """Band and bin of sample ``i`` of a packed row; NULL when it does not count."""
-    number = bin_of(v, "low", "_factor")
-    counts = finite(v) & (number >= 0) & (number < BINS)
-    if region is not None:
-        pixel = F.floor(i / F.col("c"))
-        counts = counts & in_region(region, pixel % F.col("w"), F.floor(pixel / F.col("w")))
-    return F.when(counts, (i % F.col("c")) * BINS + number)
+    """The same for whole frames: counted batch by batch as dense arrays, no shuffle. Without ``low, high`` a frame's own range counts."""
+    return dense.counted(frames if region is None else frames.withColumn("_region", F.col(region)), keys)
 
 
 def exact_histogram(
@@ -97,48 +70,11 @@ def exact_histogram(
     Whole frames are counted in place. Tiles need the ``ranges`` of their frames and add up
     their counts in a shuffle of at most 256 rows per band, frame and task.
     """
-    ranged = with_range(blocks, ranges, keys)
-    if region is not None:
-        ranged = ranged.withColumn("_region", region)
+    framed = blocks if region is None else blocks.withColumn("_region", region)
     if ranges is None:
-        return count_bins_in_rows(ranged, None if region is None else "_region", keys)
-    if region is None:
-        return count_bins(to_samples(ranged, keys, keep=("low", "high")), keys)
-    cut = to_samples(blocks_touching(ranged, "_region"), keys, keep=("low", "high", "_region"))
-    return count_bins(cut.where(in_region("_region")), keys)
-
-
-def _cells_inside(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The four samples of every 2x2 cell that lies inside one block, read in place."""
-    x0, y0 = origin(blocks)
-    row = F.col("w") * F.col("c")
-    last = row * (F.col("h") - 1) - F.col("c")
-    wide_enough = (F.col("w") > 1) & (F.col("h") > 1)
-    cells = F.transform(
-        F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i % row) < row - F.col("c")),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.sort_array(
-                F.array(
-                    F.get("pixels", i),
-                    F.get("pixels", i + F.col("c")),
-                    F.get("pixels", i + row),
-                    F.get("pixels", i + row + F.col("c")),
-                )
-            ).alias("q"),
-        ),
-    )
-    place = (x0.alias("_x0"), y0.alias("_y0"), "w", "c")
-    flat = explode_computed(blocks.where(wide_enough), cells, "_cell", [*keys, *keep, *place])
-    at = F.col("_cell.i")
-    return flat.select(
-        *keys,
-        *keep,
-        (F.col("_y0") + F.floor(at / (F.col("w") * F.col("c"))).cast("int")).alias("y"),
-        (F.col("_x0") + F.floor(at / F.col("c")).cast("int") % F.col("w")).alias("x"),
-        (at % F.col("c")).cast("int").alias("band"),
-        F.col("_cell.q").alias("q"),
-    )
+        return count_bins_in_rows(framed, None if region is None else "_region", keys)
+    ranged = with_range(framed if region is None else blocks_touching(framed, "_region"), ranges, keys)
+    return dense.merged(dense.counted(ranged, keys), keys, "n")
 
 
 def _cells_on_seams(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -174,14 +110,6 @@ def _cells_on_seams(blocks: DataFrame, keys: Sequence[str], keep: Sequence[str])
     )
 
 
-def cells(blocks: DataFrame, keys: Sequence[str] = FRAME_KEYS, keep: Sequence[str] = ()) -> DataFrame:
-    """Sorted values of all 2x2 cells of every frame, for whole frames and tiled frames alike."""
-    inside = _cells_inside(blocks, keys, keep)
-    if "x0" not in blocks.columns:
-        return inside
-    return inside.unionByName(_cells_on_seams(blocks, keys, keep))
-
-
 def smooth_jumps(cell_rows: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
     """Second derivative of the density: four signed jumps per usable cell, summed per bin.
 
@@ -219,20 +147,23 @@ def smooth_histogram(
 ) -> DataFrame:
     """Density of the bilinearly interpolated image at 256 bins: the jumps, summed twice.
 
-    With a region, cells whose four pixels lie inside it are used. Bins are dense, and the
+    Whole frames are done in place; tiles add up the jumps of their inner cells and of the cells on their seams. With a region, cells whose four pixels lie inside it are used. Bins are dense, and the
     two running sums run over exactly 256 rows per frame and band.
     """
-    ranged = with_range(blocks, ranges, keys)
-    keep = ("low", "high")
+    framed, keep = blocks, ("low", "high")
     if region is not None:
-        ranged, keep = ranged.withColumn("_region", region), ("low", "high", "_region")
-    found = cells(ranged, keys, keep)
+        framed, keep = blocks.withColumn("_region", region), ("low", "high", "_region")
+    if "x0" not in blocks.columns:
+        return dense.densities(framed if ranges is None else with_range(framed, ranges, keys), keys)
+    ranged = with_range(framed, ranges, keys)
+    seams = _cells_on_seams(ranged, keys, keep)
     if region is not None:
         r = F.col("_region")
-        found = found.where(
+        seams = seams.where(
             (F.col("x") >= r["x0"]) & (F.col("x") + 1 < r["x1"]) & (F.col("y") >= r["y0"]) & (F.col("y") + 1 < r["y1"])
         )
-    return integrate_twice(smooth_jumps(found, keys), keys)
+    found = dense.jumps(ranged, keys).unionByName(smooth_jumps(seams, keys))
+    return integrate_twice(dense.merged(found, keys, "jump"), keys)
 
 
 def integrate_twice(jumps: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:

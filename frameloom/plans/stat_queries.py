@@ -409,7 +409,7 @@ def display_histogram(spark, folder):
     ranged = frames.withColumn("low", block_low()).withColumn("high", block_high()).withColumn("_s", ordered)
     n = F.size("_s")
     saturated = ranged.select(
-        "seq_id", "frame", "c", "pixels", "low", "high",
+        "seq_id", "frame", "w", "h", "c", "pixels", "low", "high",
         F.get("_s", rank_low(0.01, n).cast("int")).alias("_a"), F.get("_s", rank_high(0.01, n).cast("int")).alias("_b"),
     )
     radius, center = auto_radius("_a", "_b"), auto_center("_a", "_b")
