@@ -10,28 +10,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.functions.program_text import PLACES, ProgramError, compile_text, evaluate
+from frameloom.model import to_samples
 from frameloom.operators.collections import align, pin, shift
 from frameloom.sources.batches import IMAGE_SCHEMA, Image, failed, image_batches, ok, packed_rows, typed
 
 _FRAME_PAYLOAD = ("w", "h", "c", "pixels")
 
 
+def split_program(text: str) -> tuple[str, str]:
+    """``"1,2@-1,3@0 x y + z -"`` as the list of inputs and the program."""
+    inputs, _, program = text.lstrip().partition(" ")
+    return inputs, program.strip(" ")
+
+
 def pick_inputs(spec: str, sequences: Sequence[DataFrame]) -> list[DataFrame]:
     """Inputs named by ``"1,2@-1,3@0"``: sequence numbers from 1, ``@+k``/``@-k`` shifted, ``@k`` pinned (from 0).
 
-    Numbers without a sequence are skipped.
+    Numbers without a sequence are skipped; the list ends at its first blank or where no number follows.
     """
     chosen = []
-    for number, sign, at in re.findall(r"(\d+)(?:@([+-]?)(\d+))?", spec):
+    for part in split_program(spec)[0].split(","):
+        named = re.match(r"(\d+)(?:@([+-]?)(\d+)|(@))?", part)
+        if not named:
+            break
+        number, sign, at, broken = named.groups()
         index = int(number) - 1
-        if not 0 <= index < len(sequences):
-            continue
-        frames = sequences[index]
-        if at and sign:
-            frames = shift(frames, int(sign + at))
-        elif at:
-            frames = pin(frames, int(at))
-        chosen.append(frames)
+        if 0 <= index < len(sequences):
+            if broken:
+                break
+            frames = sequences[index]
+            if at and sign:
+                frames = shift(frames, int(sign + at))
+            elif at:
+                frames = pin(frames, int(at))
+            chosen.append(frames)
     if not chosen:
         raise ValueError(f"no input sequence in {spec!r}")
     return chosen
@@ -63,8 +76,11 @@ def first_error(statuses: Sequence[str], errors: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.col(s) != "ok", F.col(e)) for s, e in zip(statuses, errors)])
 
 
-def _fitted(k: int) -> Column:
-    """Samples of input ``k`` at the places of the first input; NULL where input ``k`` has no such pixel or band."""
+def _fitted(k: int, one_for_all: bool = False) -> Column:
+    """Samples of input ``k`` at the places of the first input; NULL where input ``k`` has no such pixel or band.
+
+    ``one_for_all``: an input of one band has it for every band.
+    """
     own = F.col(f"pixels_{k}")
     if k == 1:
         return own
@@ -73,6 +89,7 @@ def _fitted(k: int) -> Column:
 
     def sample(i: Column) -> Column:
         band, x, y = i % c, F.floor(i / c) % w, F.floor(i / (c * w))
+        band = F.when(c_k == 1, F.lit(0)).otherwise(band) if one_for_all else band
         return F.when((x < w_k) & (y < h_k) & (band < c_k), F.get(own, ((y * w_k + x) * c_k + band).cast("int")))
 
     moved = F.transform(F.sequence(F.lit(0), w * h * c - 1), sample)
@@ -100,6 +117,50 @@ def run_scalar_program(aligned: DataFrame, program: str, count: int, keys: Seque
     )
 
 
+def _sample_places(count: int, one_for_all: bool) -> list[Column]:
+    return [_fitted(k, one_for_all).alias(f"x{k}") for k in range(1, count + 1)]
+
+
+def run_program_text(aligned: DataFrame, text: str, count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """Samples of a postfix program (see ``functions.program_text``) over aligned frames.
+
+    Programs that treat bands alike are evaluated sample by sample, those that look at bands together pixel by pixel with
+    as many output bands as they leave. Raises ``ProgramError`` if the variables do not match the number of images.
+    """
+    program = compile_text(text, count)
+    if program.bands:
+        def place(i: Column) -> dict[str, Column]:
+            return {":i": i % F.col("w_1"), ":j": F.floor(i / F.col("w_1")), ":w": F.col("w_1"), ":h": F.col("h_1")}
+
+        return to_samples(run_vector_program(aligned, lambda *images, at=None: evaluate(program, images, place(at)), count, keys, placed=True), [*keys, "frame"])
+    widest = F.greatest(*[F.col(f"c_{k}") for k in range(1, count + 1)], F.lit(1))
+    spread = aligned.withColumn("_c", widest).withColumn("pixels_1", F.when(F.col("c_1") == F.col("_c"), F.col("pixels_1")).otherwise(_widened(F.col("pixels_1"), F.col("_c"))))
+    spread = spread.withColumn("c_1", F.when(F.col("c_1") == 1, F.col("_c")).otherwise(F.col("c_1")))
+    flat = spread.select(
+        *keys, "frame", F.col("w_1").alias("w"), F.col("h_1").alias("h"), F.col("c_1").alias("c"),
+        F.posexplode_outer(F.arrays_zip(*_sample_places(count, True))).alias("_i", "_v"),
+    ).select(*keys, "frame", "w", "h", "c", "_i", "_v.*").where(F.col("x1").isNotNull())
+    y, x = F.expr("_i div (c * w)").cast("int"), (F.expr("_i div c") % F.col("w")).cast("int")
+    value = evaluate(program, [F.col(f"x{k}") for k in range(1, count + 1)], {":i": x, ":j": y, ":w": F.col("w"), ":h": F.col("h")})
+    return flat.select(*keys, "frame", y.alias("y"), x.alias("x"), (F.col("_i") % F.col("c")).cast("int").alias("band"), value.cast("float").alias("v"))
+
+
+def _widened(pixels: Column, c: Column) -> Column:
+    """The samples of a one-band image once for every band; other images as they are."""
+    return F.when(F.col("c_1") == 1, F.flatten(F.transform(pixels, lambda v: F.array_repeat(v, c)))).otherwise(pixels)
+
+
+def program_errors(aligned: DataFrame, text: str, count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """``(keys, frame, status, error)`` of every aligned frame: the message of a program that cannot run, else ``ok``."""
+    try:
+        program = compile_text(text, count)
+        evaluate(program, [F.col(f"pixels_{k}") for k in range(1, count + 1)], {p: F.lit(0) for p in PLACES})
+        message = None
+    except ProgramError as problem:
+        message = str(problem)
+    return aligned.select(*keys, "frame", F.lit("ok" if message is None else "error").alias("status"), F.lit(message).cast("string").alias("error"))
+
+
 def run_packed_program(aligned: DataFrame, program: Callable[..., Column], count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
     """The same for a function of N value columns, keeping frames packed."""
     zipped = F.arrays_zip(*[_fitted(k).alias(f"x{k}") for k in range(1, count + 1)])
@@ -108,10 +169,12 @@ def run_packed_program(aligned: DataFrame, program: Callable[..., Column], count
     return aligned.select(*keys, "frame", *size, pixels.alias("pixels"))
 
 
-def run_vector_program(aligned: DataFrame, program: Callable[..., Column], count: int, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+def run_vector_program(
+    aligned: DataFrame, program: Callable[..., Column], count: int, keys: Sequence[str] = ("seq_id",), placed: bool = False
+) -> DataFrame:
     """A program over the band vectors of each pixel (ARRAY<FLOAT> columns) returning a band vector.
 
-    The number of output bands is decided by the program.
+    The number of output bands is decided by the program. ``placed``: it also takes the pixel's number as ``at``.
     """
     def vector(k: int, i: Column) -> Column:
         x, y = i % F.col("w_1"), F.floor(i / F.col("w_1")).cast("int")
@@ -120,7 +183,8 @@ def run_vector_program(aligned: DataFrame, program: Callable[..., Column], count
 
     pixel_numbers = F.sequence(F.lit(0), F.col("w_1") * F.col("h_1") - 1)
     out = F.transform(
-        pixel_numbers, lambda i: program(*[vector(k, i) for k in range(1, count + 1)]).cast("array<float>")
+        pixel_numbers,
+        lambda i: program(*[vector(k, i) for k in range(1, count + 1)], **({"at": i} if placed else {})).cast("array<float>"),
     )
     return aligned.select(*keys, "frame", F.col("w_1").alias("w"), F.col("h_1").alias("h"), out.alias("_v")).select(
         *keys, "frame", "w", "h", F.size(F.col("_v")[0]).alias("c"), F.flatten("_v").alias("pixels")

@@ -178,6 +178,54 @@ def pixel_program_shifted(spark, folder):
     return programs.run_scalar_program(programs.align_images(inputs), "x1 - x2 + x3", 3)
 
 
+@query(
+    "program_text",
+    f"""WITH {_ALIGNED}, {_side_by_side("w", 3)}
+        SELECT seq_id, frame, (i // 8)::INT AS y, (i % 8)::INT AS x, 0 AS band,
+               greatest((((v1 - v2)::FLOAT * 2::FLOAT)::FLOAT + ((i % 8)::FLOAT * v3)::FLOAT)::FLOAT, v1) AS v FROM z""",
+)
+def program_text(spark, folder):
+    """A program as text over three inputs; its variables a, b and c stand for them in alphabetical order."""
+    frames = numbered(img(spark, folder))
+    inputs, text = programs.split_program("1,2,3 a b - 2 * :i c * + a fmax")
+    aligned = programs.align_images(programs.pick_inputs(inputs, _three(frames)))
+    return programs.run_program_text(aligned, text, 3)
+
+
+@query(
+    "program_text_hidden",
+    f"""WITH {_ALIGNED}, {_side_by_side("w", 2)}
+        SELECT seq_id, frame, (i // 8)::INT AS y, (i % 8)::INT AS x, 0 AS band, (v1 * v2)::FLOAT AS v FROM z""",
+)
+def program_text_hidden(spark, folder):
+    """A program without variables works on its inputs in order."""
+    frames = numbered(img(spark, folder))
+    return programs.run_program_text(programs.align_images([frames, _neighbour(frames, 1)]), "*", 2)
+
+
+@query(
+    "program_text_bands",
+    f"""WITH p AS (SELECT d.seq_id, d.frame, unnest(range(32)) AS i, embedding AS e FROM embeddings JOIN {DENSE} d ON d.source = vec_id),
+        o AS (SELECT *, unnest([0, 1, 2]) AS band FROM p)
+        SELECT seq_id, frame, (i // 8)::INT AS y, (i % 8)::INT AS x, band,
+        CASE band WHEN 0 THEN (e[2 * i + 1] + 1::FLOAT)::FLOAT WHEN 1 THEN (e[2 * i + 2] + 1::FLOAT)::FLOAT ELSE (e[2 * i + 2] - e[2 * i + 1])::FLOAT END AS v FROM o""",
+)
+def program_text_bands(spark, folder):
+    """Bands taken apart and joined: two bands in, three out."""
+    aligned = programs.align_images([numbered(flow(spark, folder))])
+    return programs.run_program_text(aligned, "p 1 + p[1] p[0] - join", 1)
+
+
+@query(
+    "program_wrong_count",
+    f"""WITH d AS {DENSE} SELECT seq_id, frame, 'error' AS status, 'the program expects 3 variables but 2 images were given' AS error FROM d""",
+)
+def program_wrong_count(spark, folder):
+    """Three variables for two images: every frame has the error."""
+    frames = numbered(img(spark, folder))
+    return programs.program_errors(programs.align_images([frames, frames]), "x y z + +", 2)
+
+
 @query(
     "vector_program",
     f"""WITH p AS (SELECT d.seq_id, d.frame, unnest(range(32)) AS i, embedding AS e FROM embeddings JOIN {DENSE} d ON d.source = vec_id),

@@ -174,3 +174,49 @@ def test_hook_runs_on_schedule(spark, tmp_path):
     hook.processAllAvailable()
     hook.stop()
     assert sum(n for _, n in seen) == 5
+
+
+def test_program_text_is_compiled_and_checked(spark):
+    from frameloom.functions.program_text import ProgramError, compile_text
+
+    assert compile_text("zeta alpha -", 2).variables == ("alpha", "zeta")
+    assert compile_text("+", 2).words[2] == "+" and len(compile_text("+", 2).variables) == 2
+    assert compile_text("x[0] x[1] join", 1).bands and not compile_text("x 2 ^ :i +", 1).bands
+    for text, count in (("x y +", 3), ("x", 2), ("x ?", 1)):
+        with pytest.raises(ProgramError):
+            compile_text(text, count)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(1, 3, 4, 3)).astype(np.float32), rng.normal(size=(1, 3, 4, 1)).astype(np.float32)
+    frames = frames_from_arrays(spark, a, b)
+    one, two = (frames.where(F.col("seq_id") == k).withColumn("seq_id", F.lit(0)) for k in (0, 1))
+
+    def run(text, *inputs):
+        rows = programs.run_program_text(programs.align_images(list(inputs)), text, len(inputs)).collect()
+        made = np.full((3, 4, 1 + max(r.band for r in rows)), np.nan, np.float32)
+        for r in rows:
+            made[r.y, r.x, r.band] = r.v
+        return made
+
+    x, y = a[0], b[0]
+    f = np.float32
+    np.testing.assert_array_equal(run("p q -", one, two), x - y)
+    np.testing.assert_array_equal(run("p q - p rot -", two, one), y - (y - x))
+    np.testing.assert_array_equal(run("-", one, one), x - x)
+    np.testing.assert_array_equal(run("p[2] p[0] join q +", one, two), x[:, :, [2, 0]] + y)
+    np.testing.assert_array_equal(run("p 0 > 3 * dup +", one), np.where(x > 0, f(6), f(0)))
+    np.testing.assert_array_equal(run("p 0 * 0 /", one), np.full_like(x, np.nan))
+    np.testing.assert_allclose(run("p vnorm", one)[:, :, 0], np.sqrt((x.astype(float) ** 2).sum(2)), rtol=1e-6)
+    np.testing.assert_array_equal(run(":i :j 10 * + p 0 * +", two)[:, :, 0], np.arange(4)[None, :] + 10 * np.arange(3)[:, None])
+    told = programs.program_errors(programs.align_images([one, two]), "x +", 2).first()
+    assert told["status"] == "error" and "2 images" in told["error"]
+    assert "stack" in programs.program_errors(programs.align_images([one, two]), "x y + +", 2).first()["error"]
+    assert programs.program_errors(programs.align_images([one, two]), "x y +", 2).first()["status"] == "ok"
+
+
+def test_list_of_inputs_ends_where_no_number_follows(spark):
+    seqs = [frames_from_arrays(spark, np.full((n, 2, 2, 1), n, np.float32)) for n in (1, 2)]
+    assert len(programs.pick_inputs("2,1 x 1 -", seqs)) == 2
+    assert len(programs.pick_inputs("1,9,2@+1 3 *", seqs)) == 2
+    assert len(programs.pick_inputs("1,x2", seqs)) == 1
+    with pytest.raises(ValueError):
+        programs.pick_inputs("x1,2", seqs)
