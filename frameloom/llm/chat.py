@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The grammar: a mark is a control string without a backslash before it. Roles are percent-encoded inside their mark.
+# The grammar: a mark is a control string without a backslash before it; no control string lies inside another one. Roles
+# are percent-encoded inside their mark.
 END = "<|end|>"
-CONTROL = r"<\|[^|<>]*\|>|</?s>|\[/?INST\]|<</?SYS>>"
-MARK = r"<\|[^|<>]*\|>"
-TURN = rf"(?s)<\|role=[^|<>]*\|>.*?(?<!\\){MARK}"  # any mark ends a text, so one inside of it reads back as another text
-HEAD = rf"(?s)^<\|role=([^|<>]*)\|>(.*){MARK}$"
+CONTROL = r"<\|[^|<>\[\]]*\|>|</?s>|\[/?INST\]|<</?SYS>>"
+TURN = rf"(?s)<\|role=[^|<>]*\|>.*?(?<!\\)(?:{CONTROL})"  # any mark ends a text, so one inside of it reads back as another text
+HEAD = rf"(?s)^<\|role=([^|<>]*)\|>(.*?)(?<!\\)(?:{CONTROL})$"
 
 
 def escape(text: Column) -> Column:

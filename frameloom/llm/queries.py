@@ -128,14 +128,14 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), escaped AS (
-  SELECT conv_id, bool_or(regexp_matches(text, '<\|[^|<>]*\|>|\\(</?s>|\[/?INST\]|<</?SYS>>)')) AS escaped FROM rows GROUP BY conv_id
+  SELECT conv_id, bool_or(regexp_matches(text, '<\|[^|<>\[\]]*\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS escaped FROM rows GROUP BY conv_id
 )
 SELECT r.conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(role) + 18 + length(CASE WHEN e.escaped
-           THEN regexp_replace(text, '(\\*)(<\|[^|<>]*\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1\2', 'g') ELSE text END)) + count(*) - 1 AS BIGINT) AS formatted_chars
+           THEN regexp_replace(text, '(\\*)(<\|[^|<>\[\]]*\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1\2', 'g') ELSE text END)) + count(*) - 1 AS BIGINT) AS formatted_chars
 FROM rows r JOIN escaped e ON r.conv_id = e.conv_id GROUP BY r.conv_id
 """
 
