@@ -39,11 +39,20 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id and document key are not in ``gone(doc_id, doc_key)``; columns as they were.
 
     ``gone`` is narrow; the engine chooses by its size whether the texts have to move.
     """
-    listed = gone.select(F.col("doc_id").alias("_gone_id"), F.col("doc_key").alias("_gone_key"))
-    same = (document_key(doc_id, text) == F.col("_gone_key")) & F.col(doc_id).eqNullSafe(F.col("_gone_id"))
+    gone_id, gone_key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
+    listed = gone.select(F.col("doc_id").alias(gone_id), F.col("doc_key").alias(gone_key))
+    same = (document_key(doc_id, text) == F.col(gone_key)) & F.col(doc_id).eqNullSafe(F.col(gone_id))
     return docs.join(listed, same, "left_anti")

@@ -55,17 +55,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text may become empty. Columns of ``docs`` named like the added ones are replaced.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), document_key(doc_id, text).alias("doc_key"), F.col(text).alias("text"))
-    gone = settle(repeated_positions(narrow, lines), "repeated-lines").select(
-        F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), "gone"
-    ).withColumnRenamed("gone", "_gone")
-    own = docs.withColumn("_doc_key", document_key(doc_id, text))
-    joined = own.join(gone.hint("merge"), (F.col("_doc_key") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    split = joined.withColumn("_lines", F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    return (
-        split.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("bigint"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut))
-        .drop("_doc_key", "_key", "_id", "_gone", "_lines")
-    )
+    gone = settle(repeated_positions(narrow, lines), "repeated-lines").select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), "gone")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), document_key(doc_id, text).alias("own_key"))
+    joined = own.join(gone.hint("merge"), (F.col("own_key") == F.col("key")) & F.col("row")[doc_id].eqNullSafe(F.col("id")), "left")
+    split = joined.select("row", "gone", F.split(F.col("row")[text], "\n").alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    cut = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    made = {
+        text: F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(cut),
+        "n_lines": F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).cast("bigint"),
+        "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint"),
+    }
+    names = [*docs.columns, *[n for n in ("n_lines", "n_removed") if n not in docs.columns]]
+    return split.select(*[made.get(c, F.col("row")[c]).alias(c) for c in names])
