@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from frameloom.llm.common import as_bytes
+from frameloom.llm.common import as_bytes, document_key
 from frameloom.llm.decontaminate import folded
 from frameloom.operators.spread import settle
 
 SAMPLE_ROWS = 12_000  # labelled documents that are learned from, at most
+SAMPLE_BYTES = 128 * 1024 * 1024  # and bytes of their texts, at most
 SHARDS = 8  # parts of the sample that learn side by side in an epoch
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 1.0
@@ -35,7 +37,8 @@ def _join(left: np.ndarray, right: np.ndarray, kind: int) -> np.ndarray:
 def _words(text: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     """A hash of every word, and of its beginnings: computed for all words at once, eight bytes at a time.
 
-    The hash covers the first sixteen and the last eight bytes and the length.
+    The hash covers the length and all bytes; what lies past the sixteenth of a word of over 24 is added up with powers
+    of a constant, so that its order counts.
     """
     body = np.frombuffer(b" " + folded(text) + b" " * 16, np.uint8)
     blank = body == 32
@@ -47,6 +50,14 @@ def _words(text: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     first, second = head & _KEEP[np.minimum(size, 8)], eight[np.minimum(start + 8, stop)] & _KEEP[np.clip(size - 8, 0, 8)]
     last = np.where(size > 16, eight[np.maximum(stop - 8, 0)], np.uint64(0))
     whole = _join(_join(first, second, 5), last, 6) + size.astype(np.uint64)
+    long = np.flatnonzero(size > 24)
+    if len(long):
+        groups = (size[long] - 9) // 8  # groups of eight bytes from the seventeenth on
+        turn = np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups)
+        at = np.repeat(start[long] + 16, groups) + 8 * turn
+        held = eight[at] & _KEEP[np.minimum(np.repeat(stop[long], groups) - at, 8)]
+        powers = np.multiply.accumulate(np.full(int(groups.max()), _MIX, np.uint64))
+        whole[long] = _join(whole[long], np.add.reduceat((held ^ (held >> np.uint64(31))) * powers[turn], np.cumsum(groups) - groups), 8)
     stems = [_join(head & _KEEP[np.minimum(size, n)], np.zeros(len(size), np.uint64), 6 + n) for n in STEM_BYTES]
     return _join(whole, whole, 1), stems
 
@@ -109,17 +120,28 @@ def _shard_pass(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs(doc_id, text)`` with their label: at most ``sample_rows`` ids of ``labels(doc_id, label)``, by hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``docs(doc_id, text)`` with their label: by hash order, at most ``sample_rows`` documents of as many ids of
+    ``labels(doc_id, label)``, and no more of them than ``sample_bytes`` hold together.
 
-    The ids are at most ``sample_rows``, so they may be broadcast. NULL ids and labels teach nothing; an id with
-    several labels has the largest.
+    The ids, and then the documents told by id and key, are at most ``sample_rows`` narrow rows, so they may be broadcast.
+    NULL ids and labels teach nothing; an id with several labels has the largest; rows that repeat id and text teach once,
+    and different texts of one id are documents of their own, each in a shard by its key.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    named = docs.join(F.broadcast(chosen), "doc_id").withColumn("doc_key", document_key("doc_id", "text"))
+    sized = named.select("doc_id", "doc_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    first = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("doc_key")]
+    taken = sized.dropDuplicates(["doc_id", "doc_key"]).orderBy(*first).limit(sample_rows)
+    upto = Window.orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+    taken = taken.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= sample_bytes).select("doc_id", "doc_key")
+    taken = settle(taken, "taken")
     place = F.xxhash64("doc_id", F.lit(5))
-    joined = docs.join(F.broadcast(chosen), "doc_id").select(
-        F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", as_bytes("text").alias("body")
+    shard = F.xxhash64("doc_id", F.lit(5), F.when(F.col("several"), F.col("doc_key")))
+    several = settle(taken.groupBy("doc_id").agg((F.count("*") > 1).alias("several")), "taken-ids")
+    joined = named.join(F.broadcast(taken), ["doc_id", "doc_key"]).dropDuplicates(["doc_id", "doc_key"]).join(F.broadcast(several), "doc_id").select(
+        F.pmod(F.when(F.col("several"), shard).otherwise(place), F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", as_bytes("text").alias("body")
     )
     return settle(joined.repartition(SHARDS, "shard"), "labelled")
 
