@@ -20,6 +20,7 @@ WEIGHTS = 5, 2, 1
 MOST_COPIES = 3
 FAN_IN = 32  # undecided documents that meet in one node of the reduction tree, on average
 SEED = 17
+DEAL_ROWS = 1 << 14  # equal rows that one row unfolds to at once
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -47,8 +48,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     )
 
 
-UNIT = "struct<size:bigint,doc_id:{id},doc_key:bigint,base:bigint,part:double>"
-DONE = "struct<size:bigint,doc_id:{id},doc_key:bigint,copies:bigint>"
+UNIT = "struct<size:bigint,doc_id:{id},doc_key:bigint,rows:bigint,base:bigint,part:double>"
+DONE = "struct<size:bigint,doc_id:{id},doc_key:bigint,rows:bigint,copies:bigint>"
 NEARLY = 1e-9
 
 
@@ -67,10 +68,10 @@ def _duel(a: Column, b: Column, done: Column, seed: int, unit: str, result: str)
     """Move words between two undecided units until one is whole; it joins ``done``, the other is carried on."""
 
     def settled(x: Column, up: bool) -> Column:
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["doc_key"].alias("doc_key"), (x["base"] + int(up)).alias("copies")).cast(result)
+        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["doc_key"].alias("doc_key"), x["rows"].alias("rows"), (x["base"] + int(up)).alias("copies")).cast(result)
 
     def left(x: Column, part: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["doc_key"].alias("doc_key"), x["base"].alias("base"), part.alias("part")).cast(unit)
+        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["doc_key"].alias("doc_key"), x["rows"].alias("rows"), x["base"].alias("base"), part.alias("part")).cast(unit)
 
     def after(d: Column) -> Column:
         def end(whole: Column, up: bool, other: Column, part: Column) -> Column:
@@ -107,7 +108,7 @@ def _rounds(units: Column, seed: int, unit: str, result: str) -> Column:
         carry, done = state["carry"], state["done"]
         whole = (carry["part"] <= NEARLY) | (carry["part"] >= 1 - NEARLY)
         closed = F.struct(
-            carry["size"].alias("size"), carry["doc_id"].alias("doc_id"), carry["doc_key"].alias("doc_key"),
+            carry["size"].alias("size"), carry["doc_id"].alias("doc_id"), carry["doc_key"].alias("doc_key"), carry["rows"].alias("rows"),
             (carry["base"] + F.round(carry["part"]).cast("bigint")).alias("copies"),
         ).cast(result)
         return (
@@ -126,14 +127,17 @@ def round_copies(units: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> Da
     on one undecided document; blocks merge ``fan_in`` at a time until a size class has one, and at last the classes of
     a source merge, large ones first. The document that then is left is rounded to the nearer side. No node sees more
     than a block, however many rows a source has. Depth is the logarithm of the largest class. Rows that agree in all
-    columns meet in one block. Choices depend on ids, texts and the seed, so a rerun agrees.
+    columns are counted first and are one unit with that many rows: it wants their copies together, has one fraction to
+    round, and deals its copies out evenly at the end. Choices depend on ids, texts and the seed, so a rerun agrees.
     """
     kind = units.schema["doc_id"].dataType.simpleString()
     unit, result = UNIT.format(id=kind), DONE.format(id=kind)
-    based = units.withColumn("base", F.floor("wanted").cast("bigint")).withColumn("part", F.col("wanted") - F.col("base"))
+    together = units.groupBy("source_no", "doc_id", "doc_key", "size").agg(F.count("*").alias("rows"), F.max("wanted").alias("each"))
+    together = together.withColumn("wanted", F.col("each") * F.col("rows"))
+    based = together.withColumn("base", F.floor("wanted").cast("bigint")).withColumn("part", F.col("wanted") - F.col("base"))
     based = based.withColumn("open", (F.col("part") > NEARLY) & (F.col("part") < 1 - NEARLY) & (F.col("size") > 0))
     own = F.when(F.col("part") >= 1 - NEARLY, 1).when(F.col("part") <= NEARLY, 0).otherwise((_chance(seed, F.col("doc_id"), F.col("doc_key")) < F.col("part")).cast("int"))
-    outcome = based.where(~F.col("open")).select("source_no", "doc_id", "doc_key", "size", (F.col("base") + own).alias("copies"))
+    outcome = based.where(~F.col("open")).select("source_no", "doc_id", "doc_key", "size", "rows", (F.col("base") + own).alias("copies"))
 
     level = based.where("open").withColumn("class", F.floor(F.log2("size") * 2).cast("int"))
     counts = settle(level.groupBy("source_no", "class").agg(F.count("*").alias("n")), "class-counts")
@@ -141,7 +145,7 @@ def round_copies(units: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> Da
     blocks = F.ceil(F.col("n") / fan_in)
     level = level.join(counts, ["source_no", "class"]).select(
         "source_no", "class", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_key"), blocks).alias("block"),
-        F.struct("size", "doc_id", "doc_key", "base", "part").cast(unit).alias("unit"),
+        F.struct("size", "doc_id", "doc_key", "rows", "base", "part").cast(unit).alias("unit"),
     )
 
     def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,7 +154,7 @@ def round_copies(units: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> Da
         return nodes.select(*keys, "node.carry", "node.done")
 
     def finished(nodes: DataFrame) -> DataFrame:
-        return nodes.select("source_no", F.inline("done")).select("source_no", "doc_id", "doc_key", "size", "copies")
+        return nodes.select("source_no", F.inline("done")).select("source_no", "doc_id", "doc_key", "size", "rows", "copies")
 
     most = -(-largest // fan_in)
     while True:
@@ -161,8 +165,18 @@ def round_copies(units: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) -> Da
             break
         most = -(-most // fan_in)
     last = merged(level, ["source_no"])
-    final = last.select("source_no", "carry.doc_id", "carry.doc_key", "carry.size", (F.col("carry.base") + F.round("carry.part").cast("bigint")).alias("copies"))
-    return outcome.unionByName(finished(last)).unionByName(final)
+    final = last.select("source_no", "carry.doc_id", "carry.doc_key", "carry.size", "carry.rows", (F.col("carry.base") + F.round("carry.part").cast("bigint")).alias("copies"))
+    return _dealt(outcome.unionByName(finished(last)).unionByName(final))
+
+
+def _dealt(units: DataFrame) -> DataFrame:
+    """One row per row again: the copies of a unit as evenly as whole numbers allow, in steps for units of very many rows."""
+    chunks = units.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1, F.lit(DEAL_ROWS).cast("bigint"))))
+    few, many = chunks.where(F.col("rows") <= DEAL_ROWS), chunks.where(F.col("rows") > DEAL_ROWS)
+    spread = few.unionByName(many.repartition("doc_id", "start"))
+    each = spread.withColumn("row", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (DEAL_ROWS - 1), F.col("rows") - 1))))
+    more = (F.col("row") < F.col("copies") % F.col("rows")).cast("bigint")
+    return each.select("source_no", "doc_id", "doc_key", "size", (F.floor(F.col("copies") / F.col("rows")) + more).alias("copies"))
 
 
 def mix(
@@ -173,7 +187,7 @@ def mix(
 
     ``size`` counts the words of the whole text, 0 for NULL; ``taken`` is ``copies`` times that and never more than
     ``most`` times. NULL sources are one source. An empty table, or one without words, takes nothing. ``doc_key`` tells
-    apart texts that share a doc_id; rows that repeat both are rounded one by one.
+    apart texts that share a doc_id; rows that repeat both share their copies as evenly as whole numbers allow.
     """
     units = settle(
         docs.select(
