@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -163,7 +164,7 @@ def stream(lexicon: Lexicon, bodies: list[bytes]) -> Stream:
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     begin = np.cumsum(sizes) - sizes
     look = lexicon.codes.get
-    code = np.concatenate([np.fromiter((look(w, -1) for w in f), np.int64, len(f)) for f in found])
+    code = np.concatenate([np.fromiter(map(look, f, repeat(-1)), np.int64, len(f)) for f in found])
     group, bucket = lexicon.group[code], lexicon.bucket[code]
     unlisted: list[list[bytes]] = [[] for _ in found]
     missing = np.flatnonzero(code < 0)
@@ -297,11 +298,36 @@ def _packed(values: np.ndarray) -> bytes:
     return np.clip(values, -6e4, 6e4).astype(np.float16).tobytes()
 
 
-def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast) -> DataFrame:
+def _moves(table: np.ndarray, start: np.ndarray | None, seen: np.ndarray, at: int) -> dict[str, bytes] | None:
+    """The rows of a block that a task moved: their numbers, weights and moves, these in steps of a 127th of the row's largest."""
+    part = slice(at, at + BLOCK_ROWS)
+    row = np.flatnonzero(seen[part])
+    if not len(row):
+        return None
+    delta = table[part][row] if start is None else table[part][row] - start[part][row].astype(np.float32)
+    step = np.abs(delta).max(axis=1) / 127
+    values = np.rint(delta / np.maximum(step, 1e-12)[:, None]).astype(np.int8)
+    weight = np.sqrt(seen[part][row])
+    return {"rows": row.astype(np.int16).tobytes(), "weights": weight.astype(np.float32).tobytes(), "steps": step.astype(np.float32).tobytes(), "moves": values.tobytes()}
+
+
+def _sum_of_moves(rows: pd.DataFrame) -> np.ndarray:
+    """Per row of a block the weights and the weighted moves of all tasks, in the order of their content."""
+    width = SHAPES[rows["name"].iloc[0]][1]
+    total = np.zeros((BLOCK_ROWS, width + 1), np.float32)
+    for r in rows.sort_values(["weights", "moves"]).itertuples():
+        row, weight, step = np.frombuffer(r.rows, np.int16), np.frombuffer(r.weights, np.float32), np.frombuffer(r.steps, np.float32)
+        total[row, 0] += weight
+        total[row, 1:] += np.frombuffer(r.moves, np.int8).reshape(-1, width) * (step * weight)[:, None]
+    return total
+
+
+def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast | None) -> DataFrame:
     """One round: every task learns from its documents, beginning at the shared weights, and hands on the rows it moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {n: t.astype(np.float32) for n, t in start.value.items()}
+        begun = start.value if start else {}
+        tables = {n: t.astype(np.float32) for n, t in begun.items()} or zero_tables()
         seen = {n: np.zeros(len(t), np.float32) for n, t in tables.items()}
         count = 0
         for batch in batches:
@@ -313,22 +339,25 @@ def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast) -> DataFrame:
         part = TaskContext.get().partitionId() // MERGE_FAN_IN
         for name, table in tables.items() if count else ():
             for at in range(0, len(table), BLOCK_ROWS):
-                moved = seen[name][at : at + BLOCK_ROWS]
-                if moved.any():
-                    delta = table[at : at + BLOCK_ROWS] - start.value[name][at : at + BLOCK_ROWS]
-                    weight = np.sqrt(moved)
-                    packed = _packed(np.column_stack([weight, delta * weight[:, None]]))
-                    yield pa.RecordBatch.from_pydict({"name": [name], "block": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "sums": [packed]})
+                moved = _moves(table, begun.get(name), seen[name], at)
+                if moved:
+                    yield pa.RecordBatch.from_pylist([{"name": name, "block": at, "part": part, **moved}], schema=sent)
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        total = _sum_of_moves(rows) / MERGE_FAN_IN  # a mean needs no scale, and half precision has no room for sums
+        return pd.DataFrame({"name": rows["name"].iloc[:1], "block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [_packed(total)]})
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(rows["sums"].iloc[0]) // 2, np.float32)
         for packed in sorted(rows["sums"]):
-            total += np.frombuffer(packed, np.float16) / MERGE_FAN_IN  # a mean needs no scale, and half precision has no room for sums
+            total += np.frombuffer(packed, np.float16) / MERGE_FAN_IN
         return pd.DataFrame({"name": rows["name"].iloc[:1], "block": rows["block"].iloc[:1], "part": rows["part"].iloc[:1], "sums": [_packed(total)]})
 
+    sent = pa.schema([("name", pa.string()), ("block", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("rows", "weights", "steps", "moves")]])
+    moves = docs.select("body").mapInArrow(run, "name string, block int, part int, rows binary, weights binary, steps binary, moves binary")
     schema = "name string, block int, part int, sums binary"
-    first = docs.select("body").mapInArrow(run, schema).groupBy("name", "block", "part").applyInPandas(merged, schema)
-    return first.groupBy("name", "block").applyInPandas(merged, schema)
+    first = moves.groupBy("name", "block", "part").applyInPandas(merged, schema)
+    return first.groupBy("name", "block").applyInPandas(again, schema)
 
 
 def _portions(bodies: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
@@ -344,20 +373,30 @@ def _portions(bodies: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]
 
 
 def train(docs: DataFrame, lexicon: Broadcast, rounds: int = ROUNDS) -> Tables:
-    """``docs(body, place)``: each round deals with its share of all documents, and rows move by the weighted mean of the tasks."""
+    """``docs(body, place)``: each round deals with its share of all documents, and rows move by the weighted mean of the tasks.
+
+    The weights are sent out in half precision, not at all while they are zero, and taken back after the round.
+    """
     spark = docs.sparkSession
     tables = zero_tables()
     for number in range(rounds):
-        start = spark.sparkContext.broadcast(tables)
+        start = spark.sparkContext.broadcast(halves(tables)) if number else None
         share = docs.where(F.pmod("place", F.lit(rounds)) == number)
-        tables = {n: t.copy() for n, t in tables.items()}
+        tables = {n: t.astype(np.float16).astype(np.float32) for n, t in tables.items()}
         for row in _update(share, lexicon, start).collect():
             table = tables[row["name"]]
-            sums = np.frombuffer(row["sums"], np.float16).astype(np.float32).reshape(-1, table.shape[1] + 1)
-            table[row["block"] : row["block"] + len(sums)] += sums[:, 1:] / np.maximum(sums[:, :1], 1e-6)
+            block = table[row["block"] : row["block"] + BLOCK_ROWS]
+            sums = np.frombuffer(row["sums"], np.float16).astype(np.float32).reshape(-1, table.shape[1] + 1)[: len(block)]
+            block += sums[:, 1:] / np.maximum(sums[:, :1], 1e-6)
+        if start:
+            start.destroy()
     return tables
 
 
+def halves(tables: Tables) -> Tables:
+    return {n: np.clip(t, -6e4, 6e4).astype(np.float16) for n, t in tables.items()}
+
+
 def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -369,11 +408,12 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
     taught = named.where("learns")
     counts = settle(count_tokens(taught), "counts")
     lexicon = spark.sparkContext.broadcast(build_lexicon(counts))
-    weights = spark.sparkContext.broadcast(train(taught, lexicon))
+    total = lexicon.value.total
+    weights = spark.sparkContext.broadcast(halves(train(taught, lexicon)))
     kind = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = lexicon.value, weights.value
+        known, tables = lexicon.value, {n: t.astype(np.float32) for n, t in weights.value.items()}
         norm = np.log10(known.total + SMOOTH * (known.kinds + 1))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -397,12 +437,14 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
 
     schema = f"row bigint, doc_id {kind}, n_tokens bigint, listed bigint, base double, model double, rare array<struct<word:binary,times:int>>"
     scored = settle(named.select("doc_id", "body").mapInArrow(run, schema), "scored")
+    weights.destroy()
+    lexicon.destroy()
     met = scored.select("row", F.inline("rare")).join(counts, "word", "left")
     found = met.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("met")
     )
     more = F.coalesce("more", F.lit(0.0))
     return scored.drop("rare").join(found, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("listed") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(lexicon.value.total).cast("bigint").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("listed") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
     )

@@ -79,3 +79,9 @@ def test_rows_of_the_chat_query_hold_the_escaped_conversation(spark):
     row = driver.queries()["op6_chat_formatting"](spark, FOLDER).where("conv_id = -7").first()
     plain = sum(len(f"<|role={r}|> {queries.TRICKY} <|end|>") for r in ("user", "assistant")) + 1
     assert row["formatted_chars"] == plain + 2 * 3 and row["loss_chars"] == len(queries.TRICKY)
+
+
+def test_language_model_beats_its_base_on_held_out_documents(spark):
+    scored = driver.queries()["op4_lm_scoring"](spark, "/root/testdata/sf0.01")
+    told = {r["held_out"]: r for r in scored.groupBy("held_out").agg(*[(F.sum(c) / F.sum("n_tokens")).alias(c) for c in ("score", "base_score")]).collect()}
+    assert told[True]["score"] > told[True]["base_score"] + 0.4 and told[False]["score"] > told[True]["score"]
