@@ -91,7 +91,7 @@ def saturation_range(
 
     Pass 1 counts coarse buckets and finds the bucket that holds each wanted rank. Pass 2
     counts the distinct values of those buckets only. Both are map-side combined counts:
-    no group is ever sorted or collected, whatever its size.
+    no group is ever sorted or collected, whatever its size. A group without finite samples has NULLs.
     """
     good = samples.where(finite("v")).withColumn("_b", _coarse(F.col("v")))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -124,10 +124,14 @@ def saturation_range(
     inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.withColumn("_to", F.col("_begin") + F.sum("_n").over(inside)).withColumn("_w", F.explode("_want"))
     picked = placed.where((F.col("_w.rank") >= F.col("_to") - F.col("_n")) & (F.col("_w.rank") < F.col("_to")))
-    return picked.groupBy(*keys, F.col("_w.q").alias("q")).agg(
+    found = picked.groupBy(*keys, F.col("_w.q").alias("q")).agg(
         F.max(F.when(F.col("_w.side") == "low", F.col("v"))).alias("low"),
         F.max(F.when(F.col("_w.side") == "high", F.col("v"))).alias("high"),
     )
+    empty = samples.groupBy(*keys).agg(F.max(finite("v")).alias("_any")).where("NOT coalesce(_any, false)")
+    fractions_of = F.explode(F.array(*[F.lit(float(q)) for q in fractions])).alias("q")
+    none = empty.select(*keys, fractions_of).withColumns({n: F.lit(None).cast(found.schema[n].dataType) for n in ("low", "high")})
+    return found.unionByName(none)
 
 
 def box_pyramid(samples: DataFrame, level: int, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
