@@ -4,7 +4,6 @@ import random
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from frameloom.llm.toxicity import score_toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -66,4 +65,3 @@ def test_near_copies_with_changed_words_go(spark, table):
 def test_query_is_registered():
     assert "pipeline" in driver.queries()
     assert {n.split("_")[0] for n in driver.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
-    assert score_toxicity
