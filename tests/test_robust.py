@@ -3,7 +3,6 @@
 import io
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from frameloom.functions.numeric import megabytes
 from frameloom.operators.histogram import count_bins
@@ -57,4 +56,3 @@ def test_literals_and_patterns_that_once_failed(spark, table):
     names = table("path string, k int", [("a" * 3000, 1), ("xaaaaaab", 2), ("xaaaaaab", 1), ("A^.b", 3)])
     assert names.where(may_match("path", "aaaaaab")).count() == 2 and names.where(may_match("path", "^.")).count() == 1
     assert [r["k"] for r in find_paths(names, "aaaaaab", 0, 9).collect()] == [1, 2]
-    assert F
