@@ -3,7 +3,8 @@
 A page is read as nested elements. The pages of a host are aligned one after the other with what is known so far, as a
 union-free regular expression: what occurs on one side only becomes optional, equal neighbours become a repeated group,
 texts that differ become slots, and texts that never differ stay as template. The host's rules follow from its wrapper:
-where the article is, and which texts are template although they stand inside it.
+where the article is, what beside it differs from page to page as prose does, which texts are template although they stand
+inside it, and which elements inside it are lists of links.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from frameloom.operators.spread import settle
 
 TEMPLATE_PAGES = 4  # different pages that must agree on a text before it counts as template
 MERGE_FAN_IN = 64
+MOST_CHILDREN = 64  # children of a wrapper's node beyond which the optional ones become one group by element
 BODY_SHARE = 0.7  # of a host's text, that the innermost article container must hold
 
 # Fixed values of HTML: elements without content, inside a line of text, with raw content, and what closes by itself.
@@ -45,6 +47,11 @@ NAMED = set(
 ARTICLE = "article", "main"
 #: Names that also mark the layout around an article: they do not count if an article stands inside.
 LAYOUT = set("nav navbar navigation menu header topbar sidebar aside banner hidden search skip notice alert login ad ads".split())
+#: Names that an article may give to parts of its own text: inside an article they count only with the wrapper's evidence.
+WEAK = set(
+    "share sharing social related recommended recommendations reply discussion form search login notice notices notification alert legal"
+    " copyright banner promo promotion skip pager pagination toolbar widget overlay modal masthead topbar".split()
+)
 DEPTH = 200  # elements nested deeper are read as part of the one at this depth
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -68,7 +75,7 @@ class Element:
         self.tag = tag
         self.key = f"{parent.key if parent else ''}/{'.'.join([tag, *names[:4]])}"
         told = {n for n in names if n in NAMED} if tag not in ("html", "body", *ARTICLE) else set()
-        told -= {"header"} if article else set()
+        told -= {"header", *WEAK} if article else set()
         fixed = hidden or tag in OUTSIDE or (tag == "header" and not article)
         inherited = parent is not None and parent.outside
         self.outside = fixed or bool(told) or inherited
@@ -200,10 +207,28 @@ def _aligned(a: list, b: list) -> list:
                 children += [_aligned(x, y) for x, y in zip(left[i:j], right[k:m])]
             else:
                 children += [[n[0], True, *n[2:]] for n in left[i:j] + right[k:m]]
-        children = _grouped(children)
+        children = _folded(_grouped(children), a[0])
     return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], children, pages]
 
 
+def _folded(nodes: list[list], above: str) -> list[list]:
+    """Beyond ``MOST_CHILDREN`` the optional nodes of an element are one repeated slot, so a wrapper grows with the template only."""
+    if len(nodes) <= MOST_CHILDREN:
+        return nodes
+    out: list[list] = []
+    slots: dict[str, list] = {}
+    for node in nodes:
+        tag = _tag(node)
+        if not node[1] or _is_template(node):
+            out.append(node)
+        elif tag in slots:
+            slots[tag][4] += _total(node)
+        else:
+            slots[tag] = [f"{above}/{tag}", True, True, "*", _total(node), [], []]
+            out.append(slots[tag])
+    return out
+
+
 def observe(page: str) -> dict:
     root = parse(page)
     texts: dict[int, list[str]] = {}
@@ -239,6 +264,20 @@ def _fixed(node: list) -> int:
     return (node[4] if _is_template(node) else 0) + sum(map(_fixed, node[5]))
 
 
+def _tag(node: list) -> str:
+    return node[0].rpartition("/")[2].split(".")[0]
+
+
+def _linked(node: list) -> int:
+    """Words of blocks that begin inside a link."""
+    return _total(node) if _tag(node) == "a" else sum(map(_linked, node[5]))
+
+
+def _is_prose(node: list) -> bool:
+    """A paragraph whose text differs from page to page."""
+    return (_tag(node) == "p" and node[3] == "*") or any(map(_is_prose, node[5]))
+
+
 def _inner(node: list) -> list | None:
     """The child that holds most of the text, if all text beside it is template."""
     total, fixed = _total(node), _fixed(node)
@@ -250,43 +289,66 @@ def _inner(node: list) -> list | None:
 
 
 def rules(wrapper: dict) -> dict:
-    """``{"inside": path or "", "template": [[path, digest], ...]}`` for a host.
+    """``{"inside": path or "", "beside": [path, ...], "links": [path, ...], "template": [[path, digest], ...]}`` for a host.
 
     The article is the first article or main element of the wrapper, else the innermost element that holds most of its
-    text and has nothing but template beside it. Template is a text that enough different pages carry in that element, unless it would take most of the article with it:
-    then the pages are copies of each other and nothing is template.
+    text and has nothing but template beside it. Neighbours of an article element belong to it if they hold paragraphs that
+    differ from page to page and are not mostly links. Elements with a ``WEAK`` name inside an article go if they are mostly
+    links. Template is a text that enough different pages carry in that element, unless it would take most of the article
+    with it: then the pages are copies of each other and nothing is template.
     """
-    node, found = wrapper["root"], None
-    todo = [node]
+    node, found, above = wrapper["root"], None, None
+    todo: list[tuple[list, list | None]] = [(node, None)]
     while todo and found is None:
-        top = todo.pop(0)
-        if top[0].rpartition("/")[2].split(".")[0] in ARTICLE:
-            found = top
-        todo += top[5]
+        top, parent = todo.pop(0)
+        if _tag(top) in ARTICLE:
+            found, above = top, parent
+        todo += [(child, top) for child in top[5]]
     if found is None:
         found = node
         while inner := _inner(found):
             found = inner
+    near = [n for n in above[5] if _tag(n) not in ARTICLE and _is_prose(n) and 2 * _linked(n) <= _total(n)] if above else []
     template: list = []
+    links: list = []
     words = fixed = 0
-    todo = [found]
-    while todo:
-        top = todo.pop()
+    walk = [found, *near]
+    while walk:
+        top = walk.pop()
         words += top[4]
         if _is_template(top):
             template.append([top[0], top[3]])
             fixed += top[4]
-        todo += top[5]
-    return {"inside": found[0], "template": sorted(template) if 2 * fixed < words else []}
+        if WEAK & {*top[0].rpartition("/")[2].split(".")[1:]} and 2 * _linked(top) > _total(top):
+            links.append(top[0])
+        walk += top[5]
+    kept = sorted(template) if 2 * fixed < words else []
+    return {"inside": found[0], "beside": sorted({n[0] for n in near}), "links": sorted({*links}), "template": kept}
+
+
+def _within(key: str, paths: list[str]) -> bool:
+    return any(key == p or key.startswith(p + "/") for p in paths)
 
 
 def extract(page: str, host: dict) -> str:
-    """The article's blocks joined by line ends. Without the host's place on this page, all blocks outside of menus."""
+    """The article's blocks joined by line ends. Without the host's place on this page, all blocks outside of menus.
+
+    A page's own article elements come before the host's place; a main element that holds at least half of their text
+    stands for all of them, so that teasers beside it go.
+    """
     found = [(owner.key, text) for owner, text in blocks(parse(page))]
     template = {(p, d) for p, d in host["template"]}
-    marked = [(k, t) for k, t in found if any(f"/{a}" in k and re.search(rf"/{a}(?:[./]|$)", k) for a in ARTICLE)]
-    inside = marked or [(k, t) for k, t in found if k == host["inside"] or k.startswith(host["inside"] + "/")] or found
-    return "\n".join(t for k, t in inside if not template or (k, _digest(t)) not in template)
+    beside, links = host.get("beside", []), host.get("links", [])
+    article, main = (re.compile(rf"/(?:{names})(?:[./]|$)") for names in ("|".join(ARTICLE), "main"))
+    marked = {i for i, (k, _) in enumerate(found) if article.search(k)}
+    in_main = {i for i in marked if main.search(found[i][0])}
+    if 2 * sum(len(found[i][1]) for i in in_main) >= sum(len(found[i][1]) for i in marked):
+        marked = in_main or marked
+    if marked:
+        inside = [(k, t) for i, (k, t) in enumerate(found) if i in marked or _within(k, beside)]
+    else:
+        inside = [(k, t) for k, t in found if _within(k, [host["inside"]])] or found
+    return "\n".join(t for k, t in inside if not _within(k, links) and (not template or (k, _digest(t)) not in template))
 
 
 def _decoded(body: bytes) -> str:
