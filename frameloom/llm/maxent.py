@@ -36,6 +36,7 @@ ROUNDS = 2  # the training documents are dealt into so many parts, one for each
 STEP = 0.15
 TOKENS = 4096  # tokens of a batch
 SHORT_RUN = 16
+SAFE = 60.0  # powers of numbers up to here, and sums of them, stay inside single precision
 BLOCK_ROWS = 1024  # rows of weights that travel together
 MERGE_FAN_IN = 32
 HELD_WORDS = 400_000  # different words that a task counts before it hands the counts on
@@ -186,10 +187,12 @@ def _member_rows(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
     return ((bucket * 0xC2B2AE3D + group * 0x27D4EB2F) >> 5) % MEMBER_ROWS
 
 
-def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``exp(x - top)`` in place of ``x``, its sum by row, and ``top``, the largest value of each row."""
-    top = x.max(axis=1)
-    x -= top[:, None]
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """``exp(x - top)`` in place of ``x``, its sum by row, and ``top``: zero where no power leaves the range, else each row's largest."""
+    top = 0.0
+    if len(x) and (x.max() > SAFE or x.min() < -SAFE):
+        top = x.max(axis=1)
+        x -= top[:, None]
     np.exp(x, out=x)
     return x, np.einsum("ij->i", x), top
 
@@ -233,15 +236,58 @@ def _gradient(x: np.ndarray, column: np.ndarray) -> np.ndarray:
     return x
 
 
-def score_stream(lexicon: Lexicon, tables: Tables, s: Stream) -> np.ndarray:
-    """log10 P of every token; words that are not listed lack their count's part."""
+class Powers(NamedTuple):
+    """Weights as factors: the share of a class is a product of rows, without a power for each token."""
+
+    tables: Tables  # the factors of the words hold those of the classes
+    member: np.ndarray
+
+
+def powers_of(lexicon: Lexicon, tables: Tables) -> Powers | None:
+    """None where some product of factors could leave the range of single precision."""
+    for names, bias in ((("word", "skip", "pair"), lexicon.group_bias), (("member_word", "member_skip"), lexicon.member_bias)):
+        if sum(float(tables[n].max()) for n in names) + bias.max() > SAFE or sum(float(tables[n].min()) for n in names) + bias.min() < -SAFE:
+            return None
+    raised = {n: np.exp(t) for n, t in tables.items()}
+    raised["word"] *= np.exp(lexicon.group_bias)
+    return Powers(raised, np.exp(lexicon.member_bias))
+
+
+def _log_product(first: np.ndarray, second: np.ndarray, third: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """log10 of the share that each row of the product of three has at its column; ``first`` is used up."""
+    first *= second
+    at = np.arange(len(first))
+    own = first[at, column].astype(np.float64) * third[at, column]
+    return np.log10(own / np.einsum("ij,ij->i", first, third))
+
+
+def _log_shares(lexicon: Lexicon, powers: Powers, s: Stream, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch, log10 P(class) of every token and log10 P(word | class) of the frequent ones."""
+
+    def rows(name: str, at: np.ndarray) -> np.ndarray:
+        return np.take(powers.tables[name], at, axis=0, mode="clip")
+
+    word, skip, group = s.word[part], s.skip[part], s.group[part]
+    head = np.flatnonzero(group < HEADS)
+    classes = _log_product(rows("word", word), rows("skip", skip), rows("pair", s.pair[part]), group)
+    by_word, by_skip = (rows(n, _member_rows(at[head], group[head])) for n, at in (("member_word", word), ("member_skip", skip)))
+    return classes, _log_product(by_word, by_skip, powers.member[group[head]], s.code[part][head] % _per_class(lexicon))
+
+
+def score_stream(lexicon: Lexicon, tables: Tables, s: Stream, powers: Powers | None = None) -> np.ndarray:
+    """log10 P of every token; words that are not listed lack their count's part. ``powers`` of the tables spare work."""
     out = np.zeros(len(s.code))
     per_class = _per_class(lexicon)
     for at in range(0, len(out), TOKENS):
         part = slice(at, min(at + TOKENS, len(out)))
-        _, classes, members, group, head, code = _batch(lexicon, tables, s, part)
-        own = _log_share(classes, group)
-        own[head] += _log_share(members, code[head] % per_class)
+        group, code = s.group[part], s.code[part]
+        head = np.flatnonzero(group < HEADS)
+        if powers:
+            own, member = _log_shares(lexicon, powers, s, part)
+        else:
+            _, classes, members, *_ = _batch(lexicon, tables, s, part)
+            own, member = _log_share(classes, group), _log_share(members, code[head] % per_class)
+        own[head] += member
         tail = np.flatnonzero(group >= HEADS)
         own[tail] += np.where(code[tail] >= 0, lexicon.log_count[code[tail]], 0.0) - lexicon.tail_norm[group[tail] - HEADS]
         out[part] = own
@@ -254,19 +300,23 @@ def _per_class(lexicon: Lexicon) -> int:
 
 
 def _row_sums(row: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of a batch and the sums of their gradients: long runs one by one, short ones side by side."""
+    """The distinct rows of a batch, most frequent first, and the sums of their gradients: long runs one by one, short ones side by side."""
     order = np.argsort(row.astype(np.uint16), kind="stable")  # short integers are sorted by radix; every table has fewer rows
-    sorted_rows, values = row[order], np.take(gradient, order, axis=0, mode="clip")
+    sorted_rows = row[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     size = np.diff(np.append(first, len(row)))
-    total = values[first]
-    for run in np.flatnonzero(size > SHORT_RUN).tolist():
-        total[run] = values[first[run] : first[run] + size[run]].sum(axis=0)
-    open_runs, done = np.flatnonzero((size > 1) & (size <= SHORT_RUN)), 1
-    while len(open_runs):
-        total[open_runs] += values[first[open_runs] + done]
-        done += 1
-        open_runs = open_runs[size[open_runs] > done]
+    by_size = np.argsort((len(row) - size).astype(np.uint16), kind="stable")
+    first, size = first[by_size], size[by_size]
+    total = np.take(gradient, order[first], axis=0, mode="clip")
+    longer = len(size) - np.searchsorted(size[::-1], np.arange(SHORT_RUN + 1), side="right")  # runs longer than so many
+    many = int(longer[SHORT_RUN])
+    for run in range(many):
+        total[run] = np.take(gradient, order[first[run] : first[run] + size[run]], axis=0, mode="clip").sum(axis=0)
+    for done in range(1, SHORT_RUN):
+        end = int(longer[done])
+        if end <= many:
+            break
+        total[many:end] += np.take(gradient, order[first[many:end] + done], axis=0, mode="clip")
     return sorted_rows[first], total
 
 
@@ -275,8 +325,9 @@ def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.
     names, total = _row_sums(row, gradient)
     sums = seen[names] + np.einsum("ij,ij->i", total, total) / total.shape[1]
     seen[names] = sums
-    total *= (STEP / np.sqrt(sums + 1e-8))[:, None]
-    table[names] = np.take(table, names, axis=0, mode="clip") - total
+    total *= (-STEP / np.sqrt(sums + 1e-8))[:, None]
+    total += np.take(table, names, axis=0, mode="clip")
+    table[names] = total
 
 
 def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
@@ -414,13 +465,14 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tables = lexicon.value, {n: t.astype(np.float32) for n, t in weights.value.items()}
+        powers = powers_of(known, tables)
         norm = np.log10(known.total + SMOOTH * (known.kinds + 1))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
             for group in _portions(batch.column(1).to_pylist()):
                 s = stream(known, group)
-                model = np.add.reduceat(score_stream(known, tables, s), s.begin)
+                model = np.add.reduceat(score_stream(known, tables, s, powers), s.begin)
                 base = np.add.reduceat(np.where(s.code >= 0, known.log_count[s.code], 0.0) - norm, s.begin)
                 sizes = np.diff(np.append(s.begin, len(s.code)))
                 listed = np.add.reduceat((s.code >= 0).astype(np.int64), s.begin)
