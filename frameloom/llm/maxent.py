@@ -448,6 +448,15 @@ def halves(tables: Tables) -> Tables:
     return {n: np.clip(t, -6e4, 6e4).astype(np.float16) for n, t in tables.items()}
 
 
+def _rare_words(unlisted: list[list[bytes]]) -> pa.ListArray:
+    """The different words of each document and how often it has them."""
+    counts = [Counter(words) for words in unlisted]
+    words = pa.array([w for c in counts for w in c], pa.binary())
+    times = pa.array([n for c in counts for n in c.values()], pa.int32())
+    ends = np.cumsum([0, *map(len, counts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], ["word", "times"]))
+
+
 def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -476,12 +485,11 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
                 base = np.add.reduceat(np.where(s.code >= 0, known.log_count[s.code], 0.0) - norm, s.begin)
                 sizes = np.diff(np.append(s.begin, len(s.code)))
                 listed = np.add.reduceat((s.code >= 0).astype(np.int64), s.begin)
-                rare = [Counter(u) for u in s.unlisted]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(number, number + len(group)), pa.int64()), batch.column(0).slice(at, len(group)),
                         pa.array(sizes), pa.array(listed), pa.array(base), pa.array(model),
-                        pa.array([[{"word": w, "times": n} for w, n in c.items()] for c in rare], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))),
+                        _rare_words(s.unlisted),
                     ],
                     names=["row", "doc_id", "n_tokens", "listed", "base", "model", "rare"],
                 )

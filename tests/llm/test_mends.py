@@ -3,10 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from frameloom.llm import queries
+from frameloom.llm import maxent, queries
 from frameloom.llm.chat import format_conversations
 from frameloom.llm.common import without
 from frameloom.llm.lines import remove_repeats
@@ -85,3 +86,56 @@ def test_language_model_beats_its_base_on_held_out_documents(spark):
     scored = driver.queries()["op4_lm_scoring"](spark, "/root/testdata/sf0.01")
     told = {r["held_out"]: r for r in scored.groupBy("held_out").agg(*[(F.sum(c) / F.sum("n_tokens")).alias(c) for c in ("score", "base_score")]).collect()}
     assert told[True]["score"] > told[True]["base_score"] + 0.4 and told[False]["score"] > told[True]["score"]
+
+
+def _small_lexicon():
+    words = [b"", *(b"w%03d" % k for k in range(300))]
+    size = len(words)
+    group = np.array([k // 5 if k < 200 else maxent.HEADS + k % 7 for k in range(size)], np.int32)
+    prior = np.full(maxent.CLASSES, 1 / maxent.CLASSES)
+    member = np.full((maxent.HEADS, maxent.MEMBERS), 1e-9)
+    member[:, :5] = 0.2
+    return maxent.Lexicon(
+        {w: k for k, w in enumerate(words)}, np.log10(np.arange(size) + maxent.SMOOTH), group, np.arange(size, dtype=np.int32), [], 1000, size,
+        np.log(prior).astype(np.float32), np.log(member).astype(np.float32), np.full(maxent.TAILS, 2.0),
+    )
+
+
+@pytest.fixture
+def small_model(monkeypatch):
+    monkeypatch.setattr(maxent, "_per_class", lambda _: 5)
+    lexicon, rng = _small_lexicon(), np.random.default_rng(4)
+    tables = {n: rng.normal(0, 0.5, shape).astype(np.float32) for n, shape in maxent.SHAPES.items()}
+    text = b" ".join(b"w%03d" % k for k in rng.integers(0, 290, 9000))
+    return lexicon, tables, maxent.stream(lexicon, [text, b"", b"w001 " * 50])
+
+
+def test_scores_by_factors_equal_scores_by_sums(small_model):
+    lexicon, tables, words = small_model
+    powers = maxent.powers_of(lexicon, tables)
+    assert powers is not None
+    np.testing.assert_allclose(maxent.score_stream(lexicon, tables, words, powers), maxent.score_stream(lexicon, tables, words), rtol=1e-5, atol=1e-5)
+
+
+def test_weights_out_of_range_are_scored_by_sums(small_model):
+    lexicon, tables, words = small_model
+    tables["pair"][3] = 200.0
+    tables["pair"][4, 0] = -300.0
+    assert maxent.powers_of(lexicon, tables) is None
+    assert np.isfinite(maxent.score_stream(lexicon, tables, words, None)).all()
+
+
+def test_row_sums_equal_plain_sums():
+    rng = np.random.default_rng(1)
+    for rows in (np.array([7]), rng.integers(0, 5, 400), rng.integers(0, 4000, 4096), np.repeat(np.arange(40), np.arange(1, 41)), np.full(4096, 9)):
+        gradient = rng.normal(size=(len(rows), 8)).astype(np.float32)
+        names, total = maxent._row_sums(rows, gradient)
+        assert sorted(names) == sorted(set(rows.tolist()))
+        for name, found in zip(names, total):
+            np.testing.assert_allclose(found, gradient[rows == name].sum(axis=0), rtol=1e-4, atol=1e-3)
+
+
+def test_rare_words_are_counted_by_document():
+    found = maxent._rare_words([[b"x", b"y", b"x"], [], [b"z"]]).to_pylist()
+    assert found == [[{"word": b"x", "times": 2}, {"word": b"y", "times": 1}], [], [{"word": b"z", "times": 1}]]
+    assert maxent._rare_words([]).to_pylist() == []
