@@ -2,6 +2,7 @@
 
 from frameloom.plans import (  # noqa: F401
     collection_queries,
+    live_queries,
     loading_queries,
     pixel_queries,
     source_queries,
