@@ -12,9 +12,9 @@ from frameloom.streaming.sink import run_to_table
 
 
 def _stream(spark, folder, name):
-    """The table's file as a streaming source."""
+    """The table as a streaming source, be it one file or a folder of files; the pattern matches its name alone."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 @query(
