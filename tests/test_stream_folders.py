@@ -15,7 +15,7 @@ def folders(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["stream_hist", "stream_reload", "stream_clock", "stream_windows"])
+@pytest.mark.parametrize("name", ["stream_hist", "stream_progress", "stream_reload", "stream_clock", "stream_windows"])
 def test_folders_stream_like_files(spark, folders, name):
     got, want = (catalog.QUERIES[name](spark, f) for f in (folders, SMALL))
     assert got.count() and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
