@@ -99,9 +99,10 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = 4) -> DataFrame:
-    """One row per document: ``(doc_id, doc_key, fp, component_id, stays)``.
+    """One row per document: ``(doc_id, doc_key, fp, root, component_id, stays)``.
 
-    ``component_id`` is the smallest doc_id reachable, and ``stays`` marks the document that stands for the component.
+    ``root`` is a fingerprint that names the component, ``component_id`` is the smallest doc_id reachable, and ``stays``
+    marks the document that stands for the component.
     A NULL text has no words, texts without words have fingerprint zero and are linked like any other. A NULL doc_id
     keeps its row and counts as larger than any other. Among rows that share a doc_id, ``doc_key`` decides; rows that
     repeat id and text are the same document and stay or go together.
@@ -117,6 +118,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    return prints.join(rooted.join(heads, "root").select("fp", "head"), "fp").select(
-        "doc_id", "doc_key", "fp", F.col("head.doc_id").alias("component_id"), place.eqNullSafe(F.col("head")).alias("stays")
+    return prints.join(rooted.join(heads, "root").select("fp", "root", "head"), "fp").select(
+        "doc_id", "doc_key", "fp", "root", F.col("head.doc_id").alias("component_id"), place.eqNullSafe(F.col("head")).alias("stays")
     )
