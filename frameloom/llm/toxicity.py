@@ -21,6 +21,7 @@ SAMPLE_BYTES = 128 * 1024 * 1024  # and bytes of their texts, at most
 SHARDS = 8  # parts of the sample that learn side by side in an epoch
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 1.0
+COUNT_RANGES = 16  # ranges of hashes whose features are counted one after the other
 MIN_DOCS = 3  # a feature enters a shard's model if so many of its documents have it
 STEM_BYTES = 4, 5  # beginnings of a word that stand for its inflected and compound forms
 
@@ -89,25 +90,44 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
+def _entered(start: Weights, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features of a shard's rows that are known or that enough of them have, and which ones are known.
+
+    Features are counted by ranges of their hash, so that only a range's are held and sorted at once, besides the rows.
+    """
+    edges = np.linspace(0, 2.0**64, COUNT_RANGES + 1)[1:-1].astype(np.uint64)
+    cuts = [np.searchsorted(r[:-1], edges) for r in rows]  # the bias is last
+    found, told = [], []
+    for k in range(COUNT_RANGES):
+        parts = [r[:-1][(c[k - 1] if k else 0) : (c[k] if k < len(edges) else None)] for r, c in zip(rows, cuts)]
+        parts.append(np.full(len(rows), _BIAS) if k == 0 else np.zeros(0, np.uint64))
+        feature, seen = np.unique(np.concatenate(parts), return_counts=True)
+        at = np.minimum(np.searchsorted(start.feature, feature), max(0, len(start.feature) - 1))
+        known = start.feature[at] == feature if len(start.feature) else np.zeros(len(feature), bool)
+        entered = known | (seen >= MIN_DOCS)
+        found.append(feature[entered])
+        told.append(known[entered])
+    return np.concatenate(found), np.concatenate(told)
+
+
 def _learn_shard(start: Weights, bodies: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass over a shard, document by document; returns the features that moved, and by how much."""
     rows = [np.append(np.unique(features(b)), _BIAS) for b in bodies]
-    sizes = [len(r) for r in rows]
-    feature, code, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    at = np.minimum(np.searchsorted(start.feature, feature), max(0, len(start.feature) - 1))
-    known = start.feature[at] == feature if len(start.feature) else np.zeros(len(feature), bool)
+    feature, known = _entered(start, rows)
+    for k, row in enumerate(rows):  # a few of a document's features enter: places instead of hashes, one row at a time
+        at = np.minimum(np.searchsorted(feature, row), max(0, len(feature) - 1))
+        rows[k] = at[feature[at] == row].astype(np.int32) if len(feature) else np.zeros(0, np.int32)
+    at = np.searchsorted(start.feature, feature[known])
     z, n = np.zeros(len(feature)), np.zeros(len(feature))
-    z[known], n[known] = start.z[at[known]], start.n[at[known]]
+    z[known], n[known] = start.z[at], start.n[at]
     z0, n0 = z.copy(), n.copy()
-    entered = known | (seen >= MIN_DOCS)
-    for own, label in zip(np.split(code, np.cumsum(sizes)[:-1]), labels):
-        own = own[entered[own]]
+    for own, label in zip(rows, labels):
         w = _weight(z[own], n[own])
         gradient = _sigmoid(w.sum()) - label
         step = (np.sqrt(n[own] + gradient * gradient) - np.sqrt(n[own])) / ALPHA
         z[own] += gradient - step * w
         n[own] += gradient * gradient
-    moved = np.flatnonzero(entered & (n > n0))
+    moved = np.flatnonzero(n > n0)
     return feature[moved], z[moved] - z0[moved], n[moved] - n0[moved]
 
 
