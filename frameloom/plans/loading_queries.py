@@ -24,10 +24,14 @@ from frameloom.sources.listing import file_system, list_from_file
 
 
 def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = set()
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             fs, local, _ = file_system(path)
-            fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+            above = path.rsplit("/", 1)[0]
+            if above not in made:
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                made.add(above)
             with fs.open_output_stream(local) as out:
                 out.write(content)
         yield batch[["path"]]

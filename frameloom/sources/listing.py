@@ -29,6 +29,7 @@ from frameloom.operators.spread import number_rows, task_count
 ARCHIVE_SUFFIX = ".zip"
 MEMBER_MARK = "!/"
 SPREAD_LEVELS = 2
+ENTRY_ROWS = 4096  # entries that a task hands on at once
 
 # What opening a bad path or archive can raise (pyarrow reports some as ValueError).
 UNREADABLE = (OSError, ValueError, KeyError, zipfile.BadZipFile)
@@ -135,15 +136,17 @@ def _open_folders(deep: bool):
     """Replace folders by their content: one level, or all of it."""
 
     def content(path: str, kind: str, size, seen) -> list[tuple]:
-        return _children(path, deep) if kind == "dir" else [(path, kind, size, seen)]
+        return _children(path, deep)
 
-    return _replace_rows(content)
+    return _replace_rows(content, lambda entries: entries["kind"] == "dir")
+
+
+def _are_archives(entries: pd.DataFrame) -> pd.Series:
+    return (entries["kind"] == "file") & entries["path"].str.endswith(ARCHIVE_SUFFIX)
 
 
 def _open_archives(path: str, kind: str, size, seen) -> list[tuple]:
     """Replace an archive by its members; one that cannot be read stays, and fails when decoded."""
-    if kind != "file" or not path.endswith(ARCHIVE_SUFFIX):
-        return [(path, kind, size, seen)]
     try:
         with open_source(path) as source, zipfile.ZipFile(source) as archive:
             return [(path + MEMBER_MARK + i.filename, kind, i.file_size, seen) for i in archive.infolist() if not i.is_dir()]
@@ -151,11 +154,22 @@ def _open_archives(path: str, kind: str, size, seen) -> list[tuple]:
         return [(path, kind, size, seen)]
 
 
-def _replace_rows(content):
+def _replace_rows(content, chosen):
+    """Entries that are ``chosen`` give way to their content, several at once; all others go on together, as they are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch[_COLUMNS].itertuples(index=False):
-                yield _frame([(*row[:3], *e) for e in content(*row[3:])])
+            opened = chosen(batch).to_numpy(bool)
+            if not opened.all():
+                yield batch.loc[~opened, _COLUMNS].astype({"length": "Int64"})
+            rows = []
+            for row in batch.loc[opened, _COLUMNS].itertuples(index=False):
+                rows.extend((*row[:3], *e) for e in content(*row[3:]))
+                if len(rows) >= ENTRY_ROWS:
+                    yield _frame(rows)
+                    rows = []
+            if rows:
+                yield _frame(rows)
 
     return run
 
@@ -183,7 +197,7 @@ def list_sources(lines: DataFrame, column: str = "expression") -> DataFrame:
     found = expressions(lines, column).repartition(tasks, "line_no", "part_no", "expression").mapInPandas(_expand, _ENTRY)
     for deep in (*[False] * SPREAD_LEVELS, True):
         found = found.repartition(tasks, "line_no", "part_no", "path").mapInPandas(_open_folders(deep), _ENTRY)
-    found = found.mapInPandas(_replace_rows(_open_archives), _ENTRY)
+    found = found.mapInPandas(_replace_rows(_open_archives, _are_archives), _ENTRY)
     outer = F.substring_index("path", MEMBER_MARK, 1)
     member = F.substring("path", F.length(outer) + F.lit(1 + len(MEMBER_MARK)), F.length("path"))
     in_store = F.col("root").startswith("s3")
