@@ -120,7 +120,7 @@ def prefix_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column | None = None,
+    value: Column,
     out: str = "frame",
 ) -> DataFrame:
     """Exclusive running sum inside each key, without putting a key in one task.
@@ -129,10 +129,9 @@ def prefix_sum(
     because range bounds may differ when an exchange is computed twice.
     Each slab then needs only the total of the slabs before it (one row per key and
     slab) plus a running sum over its own rows.
-    ``order`` must be unique inside a key. With no ``value`` this numbers rows from 0.
+    ``order`` must be unique inside a key.
     """
-    weight = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
-    ranged = df.withColumn("_val", weight).repartitionByRange(*keys, *order)
+    ranged = df.withColumn("_val", value.cast("bigint")).repartitionByRange(*keys, *order)
     cut = settle(ranged.withColumn("_slab", F.spark_partition_id()), "slabs")
     earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -148,6 +147,21 @@ def prefix_sum(
     )
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "frame") -> DataFrame:
-    """Dense 0-based numbers inside each key, in ``order``."""
-    return prefix_sum(df, keys, order, None, out)
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "frame", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Dense 0-based numbers inside each key, in ``order``; of the other columns all stay, or those in ``keep``.
+
+    The rows move once: a range slab is sorted and its rows are numbered as they are written. What a key's rows in a slab
+    need is one number, by the slab's first row and the rows of the slabs before. ``order`` must be unique inside a key.
+    """
+    keys = list(keys)
+    stay = df.columns if keep is None else list(dict.fromkeys([*keys, *keep]))
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    cut = settle(ranged.select(*stay, F.spark_partition_id().alias("_slab"), F.monotonically_increasing_id().alias("_at")), "slabs")
+    earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = cut.groupBy(*keys, "_slab").agg(F.count("*").alias("_total"), F.min("_at").alias("_first"))
+    starts = slabs.select(*keys, "_slab", (F.coalesce(F.sum("_total").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"))
+    starts = settle(starts, "starts")
+    met = join_keys(cut, starts, [*keys, "_slab"], small=is_small(starts))
+    return met.withColumn(out, F.col("_start") + F.col("_at")).drop("_slab", "_at", "_start")

@@ -31,7 +31,7 @@ def natural_sort(spark, folder):
     named = items.join(parts, "l_partkey").select("l_suppkey", path.alias("path"), *ties)
     # The key is costly and cutting into ranges reads its input twice (once to sample it).
     keyed = settle(named.withColumn("_key", text.natural_key("path")), "keyed")
-    return number_rows(keyed, ["l_suppkey"], ["_key", *ties]).select("l_suppkey", "path", "frame")
+    return number_rows(keyed, ["l_suppkey"], ["_key", *ties], keep=["path"]).select("l_suppkey", "path", "frame")
 
 
 @query(

@@ -11,6 +11,26 @@ from frameloom.operators import dense, spread
 from frameloom.sources import listing
 
 
+def test_numbering_moves_rows_once(spark):
+    """Only keys and columns that are asked for are written; the written rows are not dealt out again."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 7 != 1, F.col("id") % 50)
+    rows = spark.range(20_000).select(key.alias("k"), F.col("id").alias("place"), (F.col("id") * 37 % 20_011).alias("o"))
+    done = spread.number_rows(rows, ["k"], ["o"], keep=["place"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert done.columns == ["k", "place", "frame"] and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["o"]):
+        want[r["place"]] = (r["k"], seen.setdefault(r["k"], 0))
+        seen[r["k"]] += 1
+    assert {r["place"]: (r["k"], r["frame"]) for r in done.collect()} == want and None in seen
+
+
+def test_numbers_hold_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spread, "is_small", lambda _: False)
+    rows = spark.range(3000).select((F.col("id") % 4).alias("k"), F.col("id").alias("o"))
+    assert all(r["frame"] == r["o"] // 4 for r in spread.number_rows(rows, ["k"], ["o"]).collect())
+
+
 def _entries(n):
     made = pd.DataFrame({"line_no": 0, "part_no": 0, "root": "r", "path": [f"/none/f{i}.npy" for i in range(n)], "kind": "file", "length": 5.0, "modified": pd.Timestamp("2024-01-01")})
     return made[listing._COLUMNS]
