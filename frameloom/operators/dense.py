@@ -18,6 +18,7 @@ from frameloom.sources.batches import packed_rows, typed
 
 BINS = 256  # fixed value: number of histogram bins
 SLICE_SAMPLES = 1 << 20  # samples that are worked on at once; one row is never cut
+SLICE_CELLS = 1 << 17  # cells of the rows that are worked on at once
 _SHAPE = ("h", "w", "c")
 
 
@@ -75,7 +76,7 @@ def stacks(batch: pa.RecordBatch) -> Iterator[Stack]:
     for shape in np.unique(shapes[there], axis=0):
         size = int(shape.prod())
         rows = np.flatnonzero(there & (shapes == shape).all(axis=1))
-        step = max(1, SLICE_SAMPLES // max(1, size))
+        step = max(1, min(SLICE_SAMPLES // max(1, size), SLICE_CELLS // max(1, int(shape[2]) * BINS)))
         if size:
             for at in range(0, len(rows), step):
                 yield Stack(batch, rows[at : at + step], tuple(int(n) for n in shape), samples)

@@ -53,3 +53,19 @@ def test_folders_of_a_batch_open_together(tmp_path):
     plain, opened = listing._open_folders(False)(iter([folders]))
     assert len(plain) == 10 and sorted(opened["path"]) == sorted(f"{tmp_path}/d{k}/one.npy" for k in range(30))
     assert list(opened["length"]) == [5] * 30
+
+
+def test_histograms_of_a_batch_take_bounded_memory():
+    rng = np.random.default_rng(1)
+    n = 10_000
+    pixels = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(rng.normal(size=64 * n).astype(np.float32)))
+    whole = [pa.array(np.full(n, v, np.int32)) for v in (8, 8, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *whole, pixels], names=["frame", "h", "w", "c", "pixels"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    most = rows = 0
+    for out in dense._counter(["frame"], dense.smooth_jumps_of, True, "density")(iter([batch])):
+        most, rows = max(most, pa.total_allocated_bytes() - before), rows + out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 256 * n and peak + most < 60_000_000
