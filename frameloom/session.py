@@ -68,3 +68,18 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, stem: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """The path of a folder that is there from now on, with what it may hold already."""
+    sc = spark.sparkContext
+    held = sc._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(held)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`fresh_folder` named, with all that was written there."""
+    sc = spark.sparkContext
+    held = sc._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(sc._jsc.hadoopConfiguration()).delete(held, True)

@@ -11,8 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from frameloom.session import fresh_folder
+from frameloom.session import fresh_folder, make_folder
 
 
 def write_updates(stream: DataFrame, folder: str) -> StreamingQuery:
@@ -33,7 +34,9 @@ def write_updates(stream: DataFrame, folder: str) -> StreamingQuery:
 def latest(folder: str, stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest row per key of a stored update stream."""
     values = [c for c in stream.columns if c not in keys]
-    stored = stream.sparkSession.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    rows = make_folder(stream.sparkSession, f"{folder}/rows")  # a stream without any input has stored no batch
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    stored = stream.sparkSession.read.schema(schema).option("basePath", rows).parquet(rows)
     newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
     return newest.select(*keys, "_row.*")
 

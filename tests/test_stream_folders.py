@@ -3,6 +3,8 @@
 import pytest
 
 from frameloom.plans import catalog
+from frameloom.streaming.live import rows_seen
+from frameloom.streaming.sink import run_to_table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,3 +21,12 @@ def folders(spark, tmp_path):
 def test_folders_stream_like_files(spark, folders, name):
     got, want = (catalog.QUERIES[name](spark, f) for f in (folders, SMALL))
     assert got.count() and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_stream_without_files_ends_in_no_rows(spark, tmp_path):
+    """No batch runs then, so nothing was ever stored."""
+    (tmp_path / "none").mkdir()
+    schema = "seq_id int, frame long, y int, x int, band int, v float"
+    samples = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    got = run_to_table(rows_seen(samples, 8, ["seq_id", "frame"]), ["seq_id", "frame"])
+    assert got.columns == ["seq_id", "frame", "progress"] and got.collect() == []
