@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.operators.spread import settle
+from frameloom.operators.spread import discard, settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, root)`` for every node with a link; ``root`` is the smallest node of its component.
 
     Only minima and links move: a node with a million links is a combined minimum and a join that adaptive execution
-    can split. Each round is written to the shared folder, so a lost executor repeats one round at most. Rounds end
+    can split. Each round is written to the shared folder in place of the one before, so a lost executor repeats one round at most. Rounds end
     when the links no longer change, which takes about log(n) of them. Self links and NULL ends are ignored, repeated
     links count once, an empty table has no nodes.
     """
@@ -42,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = _signature(edges)
     while before[0]:
-        edges = settle(_small_star(_large_star(edges)), "links")
+        last, edges = edges, settle(_small_star(_large_star(edges)), "links")
+        discard(last)
         now = _signature(edges)
         if now == before:
             break

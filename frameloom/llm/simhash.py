@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import as_bytes, document_key
 from frameloom.llm.components import components
-from frameloom.operators.spread import settle
+from frameloom.operators.spread import settle, settle_alone
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
     smallest = settle(prints.groupBy("fp").agg(F.min(place).alias("first")), "distinct-prints")
-    found = settle(components(close_links(smallest.select("fp"), distance, blocks)), "groups")
+    found = settle_alone(docs.sparkSession, "groups", lambda: components(close_links(smallest.select("fp"), distance, blocks)))
     rooted = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from frameloom.llm.common import as_bytes, document_key
 from frameloom.llm.decontaminate import folded
-from frameloom.operators.spread import settle
+from frameloom.operators.spread import passing, settle
 
 SAMPLE_ROWS = 12_000  # labelled documents that are learned from, at most
 SAMPLE_BYTES = 128 * 1024 * 1024  # and bytes of their texts, at most
@@ -230,5 +230,6 @@ def score_toxicity(
     A column named ``score`` is replaced.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    weights = learn(labelled_sample(narrow, labels, sample_rows))
+    with passing(docs.sparkSession):
+        weights = learn(labelled_sample(narrow, labels, sample_rows))
     return docs.withColumn("score", score_column(weights, as_bytes(text), docs))

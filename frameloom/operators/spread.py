@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from frameloom.session import fresh_folder
+from frameloom.session import delete_folder, fresh_folder
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders of the tables that the innermost :func:`passing` block has settled so far.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def task_count(spark: SparkSession) -> int:
@@ -24,15 +30,60 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _written(df: DataFrame, stem: str) -> DataFrame:
+    """The table in a new shared folder; the shuffle files of its making go as soon as it is written."""
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession, stem)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.settled_at = path
+    return held
+
+
+def _noted(held: DataFrame) -> DataFrame:
+    made = _passing.get()
+    if made is not None:
+        made.append(held.settled_at)
+    return held
+
+
 def settle(df: DataFrame, stem: str = "settled") -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
     Its size is then known before the next join is planned, its lineage is cut, and a
     lost executor does not recompute it.
     """
-    path = fresh_folder(df.sparkSession, stem)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _noted(_written(df, stem))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted when the block ends well; nothing lazy that reads them may leave it."""
+    made: list[str] = []
+    outer = _passing.set(made)
+    try:
+        yield
+    finally:
+        _passing.reset(outer)
+    for path in made:
+        delete_folder(spark, path)
+
+
+def settle_alone(spark: SparkSession, stem: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`settle` of what ``make`` returns; the tables that it settled on its way are deleted once that is written."""
+    with passing(spark):
+        held = _written(make(), stem)
+    return _noted(held)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables early: nothing reads them any more, nor a DataFrame made from them that is not yet written."""
+    for held in settled:
+        delete_folder(held.sparkSession, held.settled_at)
 
 
 def _plain_fields(schema: StructType, above: str = "") -> Iterator[tuple[str, str]]:
