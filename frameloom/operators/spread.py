@@ -33,12 +33,12 @@ def task_count(spark: SparkSession) -> int:
 def _written(df: DataFrame, stem: str) -> DataFrame:
     """The table in a new shared folder; the shuffle files of its making go as soon as it is written."""
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, stem)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     held = spark.read.schema(df.schema).parquet(path)
     held.settled_at = path
     return held
