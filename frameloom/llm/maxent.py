@@ -17,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,9 @@ WORD_ROWS, PAIR_ROWS, MEMBER_ROWS = 1 << 13, 1 << 14, 1 << 15
 ROUNDS = 2  # the training documents are dealt into so many parts, one for each round of parallel updates
 STEP = 0.15
 TOKENS = 4096  # tokens of a batch
+CHUNK = 512  # tokens whose rows are worked on together, so that they stay in a core's own cache
 SHORT_RUN = 16
+HUGE_PAGE = 1 << 21
 SAFE = 60.0  # powers of numbers up to here, and sums of them, stay inside single precision
 BLOCK_ROWS = 1024  # rows of weights that travel together
 MERGE_FAN_IN = 32
@@ -86,8 +89,9 @@ class Lexicon(NamedTuple):
     tail_norm: np.ndarray  # log10 of the smoothed mass of each range
 
 
-def _bucket(word: bytes) -> int:
-    return WORD_ROWS // 2 + xxhash.xxh64_intdigest(word) % (WORD_ROWS // 2)
+def _buckets(words: list[bytes]) -> np.ndarray:
+    half = WORD_ROWS // 2
+    return half + (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(half)).astype(np.int64)
 
 
 def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -138,7 +142,8 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
         log_count[i], group[i], bucket[i] = np.log10(n + SMOOTH), i // per_class, i
         own[i // per_class, i % per_class] = n
     for i, (w, n) in enumerate(rest, HEADS * MEMBERS):
-        log_count[i], group[i], bucket[i] = np.log10(n + SMOOTH), HEADS + bisect_right(edges, w), _bucket(w)
+        log_count[i], group[i] = np.log10(n + SMOOTH), HEADS + bisect_right(edges, w)
+    bucket[HEADS * MEMBERS :] = _buckets([w for w, _ in rest])
     smoothed = tails[:, 0] + SMOOTH * (tails[:, 1] + 1)
     heads = np.where(own > 1e-9, own, 0).sum(axis=1)
     prior = np.concatenate([heads + 1e-3, np.where(np.arange(TAILS) <= len(edges), smoothed, 1e-3)])
@@ -160,20 +165,39 @@ class Stream(NamedTuple):
     unlisted: list[list[bytes]]  # by document
 
 
+def _encoded(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The :func:`tokens` of all texts as places in their distinct words, the number of each text's tokens, and those words; END is last."""
+    texts = pa.array(bodies, pa.binary()).view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.values.dictionary_encode()
+    place = coded.indices.to_numpy()
+    _, offsets, data = coded.dictionary.buffers()
+    ends, held = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1], data.to_pybytes() if data else b""
+    word = np.diff(ends)[place] > 0  # white space at the ends of a text leaves empty parts
+    sizes = np.diff(np.append(0, np.cumsum(word))[split.offsets.to_numpy()]) + 1
+    out = np.full(int(sizes.sum()), len(ends) - 1, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = place[word]
+    cuts = ends.tolist()
+    return out, sizes, [*(held[a:b] for a, b in zip(cuts, cuts[1:])), END]
+
+
 def stream(lexicon: Lexicon, bodies: list[bytes]) -> Stream:
-    found = [tokens(b) for b in bodies]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    """Each distinct word is looked up once; its tokens take over what was found."""
+    place, sizes, words = _encoded(bodies)
     begin = np.cumsum(sizes) - sizes
     look = lexicon.codes.get
-    code = np.concatenate([np.fromiter(map(look, f, repeat(-1)), np.int64, len(f)) for f in found])
-    group, bucket = lexicon.group[code], lexicon.bucket[code]
-    unlisted: list[list[bytes]] = [[] for _ in found]
-    missing = np.flatnonzero(code < 0)
-    owner = np.searchsorted(begin, missing, side="right") - 1
-    for at, doc, place in zip(missing.tolist(), owner.tolist(), (missing - begin[owner]).tolist()):
-        word = found[doc][place]
-        unlisted[doc].append(word)
-        group[at], bucket[at] = HEADS + bisect_right(lexicon.edges, word), _bucket(word)
+    codes = np.fromiter(map(look, words, repeat(-1)), np.int64, len(words))
+    groups, buckets = lexicon.group[codes], lexicon.bucket[codes]
+    missing = np.flatnonzero(codes < 0)
+    rare = [words[at] for at in missing.tolist()]
+    groups[missing] = HEADS + np.fromiter(map(bisect_right, repeat(lexicon.edges), rare), np.int64, len(rare))
+    buckets[missing] = _buckets(rare)
+    code, group, bucket = codes[place], groups[place], buckets[place]
+    at = np.flatnonzero(code < 0)
+    found, ends = [words[k] for k in place[at].tolist()], np.append(np.searchsorted(at, begin), len(at)).tolist()
+    unlisted = [found[a:b] for a, b in zip(ends, ends[1:])]
     end = lexicon.bucket[look(END, 0)]
     first = np.zeros(len(code), bool)
     first[begin] = True
@@ -197,8 +221,29 @@ def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     return x, np.einsum("ij->i", x), top
 
 
+def _room(shapes: dict[str, tuple[int, int]]) -> Tables:
+    """Arrays in one block, so that it can have huge pages; rows of whole cache lines begin at one."""
+    sizes = {name: rows * width for name, (rows, width) in shapes.items()}
+    block = np.empty(4 * sum(sizes.values()) + HUGE_PAGE, np.uint8)
+    begin = -block.ctypes.data % HUGE_PAGE
+    flat = block[begin : begin + 4 * sum(sizes.values())].view(np.float32)
+    ends = dict(zip(sizes, np.cumsum(list(sizes.values())).tolist()))
+    return {name: flat[ends[name] - sizes[name] : ends[name]].reshape(shape) for name, shape in shapes.items()}
+
+
 def zero_tables() -> Tables:
-    return {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
+    tables = _room(SHAPES)
+    for t in tables.values():
+        t.fill(0)
+    return tables
+
+
+def _unpacked(sent: Tables) -> Tables:
+    """Weights as they are worked on."""
+    tables = _room(SHAPES)
+    for name, t in sent.items():
+        tables[name][:] = t
+    return tables
 
 
 def _summed(tables: Tables, rows: dict[str, np.ndarray], names: tuple[str, ...], bias: np.ndarray) -> np.ndarray:
@@ -228,12 +273,33 @@ def _log_share(x: np.ndarray, column: np.ndarray) -> np.ndarray:
     return (own - top - np.log(total)).astype(np.float64) / np.log(10)
 
 
-def _gradient(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Softmax of each row less one at its column, in place of ``x``."""
-    _, total, _ = _powers(x)
-    x *= (1 / total)[:, None]
-    x[np.arange(len(x)), column] -= 1
-    return x
+class Space:
+    """Room for the rows of a batch, used again by the next: asking the system for fresh pages costs more than the sums."""
+
+    def __init__(self) -> None:
+        self.held = _room(dict.fromkeys(("sum", "term", "gradient", "total", "moved"), (TOKENS, CLASSES)))
+
+    def __call__(self, use: str, rows: int, width: int) -> np.ndarray:
+        return self.held[use].reshape(-1)[: rows * width].reshape(rows, width)
+
+    def take(self, use: str, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The rows are in range; this mode copies without a check."""
+        return np.take(table, rows, axis=0, mode="clip", out=self(use, len(rows), table.shape[1]))
+
+
+def _gradient(tables: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray, column: np.ndarray, space: Space) -> np.ndarray:
+    """Softmax of the sums of each token's rows and ``bias``, less one at its column."""
+    out = space("gradient", len(column), tables[0].shape[1])
+    for at in range(0, len(out), CHUNK):
+        part = slice(at, at + CHUNK)
+        x = space.take("sum", tables[0], rows[0][part])
+        for table, row in zip(tables[1:], rows[1:]):
+            x += space.take("term", table, row[part])
+        x += bias if bias.ndim == 1 else bias[part]
+        _, total, _ = _powers(x)
+        np.einsum("ij,i->ij", x, 1 / total, out=out[part])
+    out.reshape(-1)[np.arange(len(out)) * out.shape[1] + column] -= 1
+    return out
 
 
 class Powers(NamedTuple):
@@ -248,49 +314,65 @@ def powers_of(lexicon: Lexicon, tables: Tables) -> Powers | None:
     for names, bias in ((("word", "skip", "pair"), lexicon.group_bias), (("member_word", "member_skip"), lexicon.member_bias)):
         if sum(float(tables[n].max()) for n in names) + bias.max() > SAFE or sum(float(tables[n].min()) for n in names) + bias.min() < -SAFE:
             return None
-    raised = {n: np.exp(t) for n, t in tables.items()}
+    raised = _room(SHAPES)
+    for n, t in tables.items():
+        np.exp(t, out=raised[n])
     raised["word"] *= np.exp(lexicon.group_bias)
     return Powers(raised, np.exp(lexicon.member_bias))
 
 
-def _log_product(first: np.ndarray, second: np.ndarray, third: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """log10 of the share that each row of the product of three has at its column; ``first`` is used up."""
-    first *= second
-    at = np.arange(len(first))
-    own = first[at, column].astype(np.float64) * third[at, column]
-    return np.log10(own / np.einsum("ij,ij->i", first, third))
+def _log_products(tables: list[np.ndarray], rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
+    """log10 of the share that the product of each token's rows, one of each table, has at its column.
 
+    Tokens are worked on in the order of the first two rows; equal rows have one product and one sum.
+    """
+    if not len(column):
+        return np.zeros(0)
+    order = np.argsort(rows[1].astype(np.uint16), kind="stable")  # short integers are sorted by radix; every table has fewer rows
+    order = order[np.argsort(rows[0][order].astype(np.uint16), kind="stable")]
+    rows, column = [r[order] for r in rows], column[order]
+    new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]))
+    first = np.flatnonzero(new)
+    place = np.cumsum(new) - 1
+    share = np.empty(len(order))
+    for at in range(0, len(first), CHUNK):
+        names = [r[first[at : at + CHUNK]] for r in rows]
+        part = slice(first[at], first[at + CHUNK] if at + CHUNK < len(first) else len(order))
+        x, y, third = (np.take(t, n, axis=0, mode="clip") for t, n in zip(tables, names))
+        x *= y
+        where = place[part] - at
+        share[part] = x[where, column[part]].astype(np.float64) * third[where, column[part]] / np.einsum("ij,ij->i", x, third)[where]
+    out = np.empty(len(order))
+    out[order] = np.log10(share)
+    return out
 
-def _log_shares(lexicon: Lexicon, powers: Powers, s: Stream, part: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Of a batch, log10 P(class) of every token and log10 P(word | class) of the frequent ones."""
-
-    def rows(name: str, at: np.ndarray) -> np.ndarray:
-        return np.take(powers.tables[name], at, axis=0, mode="clip")
 
-    word, skip, group = s.word[part], s.skip[part], s.group[part]
-    head = np.flatnonzero(group < HEADS)
-    classes = _log_product(rows("word", word), rows("skip", skip), rows("pair", s.pair[part]), group)
-    by_word, by_skip = (rows(n, _member_rows(at[head], group[head])) for n, at in (("member_word", word), ("member_skip", skip)))
-    return classes, _log_product(by_word, by_skip, powers.member[group[head]], s.code[part][head] % _per_class(lexicon))
+def _log_shares(lexicon: Lexicon, powers: Powers, s: Stream) -> np.ndarray:
+    """log10 P(class) of every token, for the frequent ones P(class) P(word | class)."""
+    tables = powers.tables
+    out = _log_products([tables[n] for n in ("word", "skip", "pair")], [s.word, s.skip, s.pair], s.group)
+    head = np.flatnonzero(s.group < HEADS)
+    group = s.group[head]
+    rows = [_member_rows(at[head], group) for at in (s.word, s.skip)]
+    out[head] += _log_products([tables["member_word"], tables["member_skip"], powers.member], [*rows, group], s.code[head] % _per_class(lexicon))
+    return out
 
 
 def score_stream(lexicon: Lexicon, tables: Tables, s: Stream, powers: Powers | None = None) -> np.ndarray:
     """log10 P of every token; words that are not listed lack their count's part. ``powers`` of the tables spare work."""
-    out = np.zeros(len(s.code))
-    per_class = _per_class(lexicon)
-    for at in range(0, len(out), TOKENS):
-        part = slice(at, min(at + TOKENS, len(out)))
-        group, code = s.group[part], s.code[part]
-        head = np.flatnonzero(group < HEADS)
-        if powers:
-            own, member = _log_shares(lexicon, powers, s, part)
-        else:
-            _, classes, members, *_ = _batch(lexicon, tables, s, part)
-            own, member = _log_share(classes, group), _log_share(members, code[head] % per_class)
-        own[head] += member
-        tail = np.flatnonzero(group >= HEADS)
-        own[tail] += np.where(code[tail] >= 0, lexicon.log_count[code[tail]], 0.0) - lexicon.tail_norm[group[tail] - HEADS]
-        out[part] = own
+    if powers:
+        out = _log_shares(lexicon, powers, s)
+    else:
+        out, per_class = np.zeros(len(s.code)), _per_class(lexicon)
+        for at in range(0, len(out), TOKENS):
+            part = slice(at, min(at + TOKENS, len(out)))
+            _, classes, members, group, head, code = _batch(lexicon, tables, s, part)
+            own = _log_share(classes, group)
+            own[head] += _log_share(members, code[head] % per_class)
+            out[part] = own
+    tail = np.flatnonzero(s.group >= HEADS)
+    code = s.code[tail]
+    out[tail] += np.where(code >= 0, lexicon.log_count[code], 0.0) - lexicon.tail_norm[s.group[tail] - HEADS]
     return out
 
 
@@ -299,49 +381,55 @@ def _per_class(lexicon: Lexicon) -> int:
     return max(1, -(-frequent // HEADS))
 
 
-def _row_sums(row: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _row_sums(row: np.ndarray, gradient: np.ndarray, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of a batch, most frequent first, and the sums of their gradients: long runs one by one, short ones side by side."""
+    space = space or Space()
     order = np.argsort(row.astype(np.uint16), kind="stable")  # short integers are sorted by radix; every table has fewer rows
     sorted_rows = row[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     size = np.diff(np.append(first, len(row)))
     by_size = np.argsort((len(row) - size).astype(np.uint16), kind="stable")
     first, size = first[by_size], size[by_size]
-    total = np.take(gradient, order[first], axis=0, mode="clip")
+    total = space.take("total", gradient, order[first])
     longer = len(size) - np.searchsorted(size[::-1], np.arange(SHORT_RUN + 1), side="right")  # runs longer than so many
     many = int(longer[SHORT_RUN])
     for run in range(many):
-        total[run] = np.take(gradient, order[first[run] : first[run] + size[run]], axis=0, mode="clip").sum(axis=0)
+        np.add.reduce(space.take("term", gradient, order[first[run] : first[run] + size[run]]), axis=0, out=total[run])
     for done in range(1, SHORT_RUN):
         end = int(longer[done])
         if end <= many:
             break
-        total[many:end] += np.take(gradient, order[first[many:end] + done], axis=0, mode="clip")
+        total[many:end] += space.take("term", gradient, order[first[many:end] + done])
     return sorted_rows[first], total
 
 
-def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
+def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray, space: Space) -> None:
     """One step for the rows of a batch, each at its own rate."""
-    names, total = _row_sums(row, gradient)
+    names, total = _row_sums(row, gradient, space)
     sums = seen[names] + np.einsum("ij,ij->i", total, total) / total.shape[1]
     seen[names] = sums
-    total *= (-STEP / np.sqrt(sums + 1e-8))[:, None]
-    total += np.take(table, names, axis=0, mode="clip")
-    table[names] = total
+    moved = np.einsum("ij,i->ij", total, -STEP / np.sqrt(sums + 1e-8), out=space("moved", *total.shape))
+    moved += space.take("term", table, names)
+    table[names] = moved
 
 
 def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
-    per_class = _per_class(lexicon)
+    per_class, space = _per_class(lexicon), Space()
+
+    def learn(rows: dict[str, np.ndarray], bias: np.ndarray, column: np.ndarray) -> None:
+        gradient = _gradient([tables[name] for name in rows], list(rows.values()), bias, column, space)
+        for name, row in rows.items():
+            _descend(tables[name], seen[name], row, gradient, space)
+
     for at in range(0, len(s.code), TOKENS):
         part = slice(at, min(at + TOKENS, len(s.code)))
-        rows, classes, members, group, head, code = _batch(lexicon, tables, s, part)
-        gradient = _gradient(classes, group)
-        for name in ("word", "skip", "pair"):
-            _descend(tables[name], seen[name], rows[name], gradient)
+        word, skip, group = s.word[part], s.skip[part], s.group[part]
+        learn({"word": word, "skip": skip, "pair": s.pair[part]}, lexicon.group_bias, group)
+        head = np.flatnonzero(group < HEADS)
         if len(head):
-            gradient = _gradient(members, code[head] % per_class)
-            for name in ("member_word", "member_skip"):
-                _descend(tables[name], seen[name], rows[name], gradient)
+            group = group[head]
+            rows = {"member_word": _member_rows(word[head], group), "member_skip": _member_rows(skip[head], group)}
+            learn(rows, lexicon.member_bias[group], s.code[part][head] % per_class)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -378,7 +466,7 @@ def _update(docs: DataFrame, lexicon: Broadcast, start: Broadcast | None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = start.value if start else {}
-        tables = {n: t.astype(np.float32) for n, t in begun.items()} or zero_tables()
+        tables = _unpacked(begun) if begun else zero_tables()
         seen = {n: np.zeros(len(t), np.float32) for n, t in tables.items()}
         count = 0
         for batch in batches:
@@ -473,7 +561,7 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
     kind = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = lexicon.value, {n: t.astype(np.float32) for n, t in weights.value.items()}
+        known, tables = lexicon.value, _unpacked(weights.value)
         powers = powers_of(known, tables)
         norm = np.log10(known.total + SMOOTH * (known.kinds + 1))
         number = TaskContext.get().partitionId() << 40

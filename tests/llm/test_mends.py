@@ -117,6 +117,67 @@ def test_scores_by_factors_equal_scores_by_sums(small_model):
     np.testing.assert_allclose(maxent.score_stream(lexicon, tables, words, powers), maxent.score_stream(lexicon, tables, words), rtol=1e-5, atol=1e-5)
 
 
+def test_equal_contexts_are_multiplied_once(small_model, monkeypatch):
+    lexicon, tables, _ = small_model
+    words = maxent.stream(lexicon, [b"w001 w002 w003 " * 3000])
+    powers, plain, read = maxent.powers_of(lexicon, tables), np.take, []
+    monkeypatch.setattr(maxent.np, "take", lambda table, rows, **how: (read.append(np.size(rows)), plain(table, rows, **how))[1])
+    found = maxent.score_stream(lexicon, tables, words, powers)
+    assert len(found) == 9001 and sum(read) < 100
+    monkeypatch.undo()
+    np.testing.assert_allclose(found[3:9000], np.tile(found[3:6], 2999), rtol=1e-9)
+
+
+def test_words_are_looked_up_once_for_all_their_tokens():
+    seen = []
+
+    class Codes(dict):
+        def get(self, word, other=None):
+            seen.append(word)
+            return super().get(word, other)
+
+    lexicon = _small_lexicon()
+    lexicon = lexicon._replace(codes=Codes(lexicon.codes))
+    rng = np.random.default_rng(2)
+    odd = [bytes(rng.choice(list(b" \t\n\x0b\x0c\r\x00\x1c\x85\xa0aZ\xc3\x84"), n).astype(np.uint8)) for n in rng.integers(0, 30, 200)]
+    bodies = [b"W001  w002 new " * 400, b"", b" ", *odd, b"other new\x0bw001"]
+    got = maxent.stream(lexicon, bodies)
+    assert len(seen) <= len({t for b in bodies for t in maxent.tokens(b)}) + 2  # an empty part and the end besides
+    words = [maxent.tokens(b) for b in bodies]
+    assert got.code.tolist() == [lexicon.codes.get(w, -1) for own in words for w in own]
+    assert got.begin.tolist() == np.cumsum([0, *map(len, words[:-1])]).tolist()
+    assert got.unlisted == [[w for w in own if w not in lexicon.codes] for own in words]
+
+
+def test_training_equals_plain_steps_and_works_on_whole_cache_lines(small_model):
+    lexicon, _, words = small_model
+    tables = maxent.zero_tables()
+    assert all(t.ctypes.data % 64 == 0 for t in [*tables.values(), *maxent.Space().held.values()])
+    seen = {n: np.zeros(len(t), np.float32) for n, t in tables.items()}
+    plain, sums = {n: np.zeros(t.shape) for n, t in tables.items()}, {n: np.zeros(len(t)) for n, t in tables.items()}
+    maxent.train_stream(lexicon, tables, seen, words)
+
+    def step(rows, bias, column):
+        logits = sum(plain[n][r] for n, r in rows.items()) + bias
+        gradient = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        gradient[np.arange(len(column)), column] -= 1
+        for n, r in rows.items():
+            total = np.zeros_like(plain[n])
+            np.add.at(total, r, gradient)
+            sums[n] += (total**2).mean(axis=1)
+            plain[n] -= maxent.STEP * total / np.sqrt(sums[n] + 1e-8)[:, None]
+
+    for at in range(0, len(words.code), maxent.TOKENS):
+        part = slice(at, at + maxent.TOKENS)
+        group, code, word, skip = words.group[part], words.code[part], words.word[part], words.skip[part]
+        head = group < maxent.HEADS
+        members = {n: maxent._member_rows(r[head], group[head]) for n, r in (("member_word", word), ("member_skip", skip))}
+        step({"word": word, "skip": skip, "pair": words.pair[part]}, lexicon.group_bias, group)
+        step(members, lexicon.member_bias[group[head]], code[head] % 5)
+    for n, t in tables.items():
+        np.testing.assert_allclose(t, plain[n], rtol=1e-3, atol=1e-4)
+
+
 def test_weights_out_of_range_are_scored_by_sums(small_model):
     lexicon, tables, words = small_model
     tables["pair"][3] = 200.0
