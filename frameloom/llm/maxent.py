@@ -39,6 +39,7 @@ TOKENS = 4096  # tokens of a batch
 CHUNK = 512  # tokens whose rows are worked on together, so that they stay in a core's own cache
 SHORT_RUN = 16
 HUGE_PAGE = 1 << 21
+MOST = 1e30  # sums of powers between this and its inverse lose nothing in single precision
 SAFE = 60.0  # powers of numbers up to here, and sums of them, stay inside single precision
 BLOCK_ROWS = 1024  # rows of weights that travel together
 MERGE_FAN_IN = 32
@@ -277,7 +278,7 @@ class Space:
     """Room for the rows of a batch, used again by the next: asking the system for fresh pages costs more than the sums."""
 
     def __init__(self) -> None:
-        self.held = _room(dict.fromkeys(("sum", "term", "gradient", "total", "moved"), (TOKENS, CLASSES)))
+        self.held = _room(dict.fromkeys(("sum", "term", "last", "gradient", "total", "moved"), (TOKENS, CLASSES)))
 
     def __call__(self, use: str, rows: int, width: int) -> np.ndarray:
         return self.held[use].reshape(-1)[: rows * width].reshape(rows, width)
@@ -287,19 +288,25 @@ class Space:
         return np.take(table, rows, axis=0, mode="clip", out=self(use, len(rows), table.shape[1]))
 
 
-def _gradient(tables: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray, column: np.ndarray, space: Space) -> np.ndarray:
-    """Softmax of the sums of each token's rows and ``bias``, less one at its column."""
-    out = space("gradient", len(column), tables[0].shape[1])
-    for at in range(0, len(out), CHUNK):
-        part = slice(at, at + CHUNK)
-        x = space.take("sum", tables[0], rows[0][part])
-        for table, row in zip(tables[1:], rows[1:]):
-            x += space.take("term", table, row[part])
-        x += bias if bias.ndim == 1 else bias[part]
-        _, total, _ = _powers(x)
-        np.einsum("ij,i->ij", x, 1 / total, out=out[part])
-    out.reshape(-1)[np.arange(len(out)) * out.shape[1] + column] -= 1
-    return out
+def _gradient(tables: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray, column: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of the sums of each token's rows and ``bias``, one for all or by token, less one at its column; and each token's row of the last table."""
+    size, width = len(column), tables[0].shape[1]
+    out, last = space("gradient", size, width), space("last", size, width)
+    with np.errstate(over="ignore"):
+        for at in range(0, size, CHUNK):
+            part = slice(at, at + CHUNK)
+            x = space.take("sum", tables[0], rows[0][part])
+            for table, row in zip(tables[1:-1], rows[1:-1]):
+                x += space.take("term", table, row[part])
+            x += np.take(tables[-1], rows[-1][part], axis=0, mode="clip", out=last[part])
+            x += bias if bias.ndim == 1 else bias[part]
+            raised = np.exp(x, out=space("term", *x.shape))
+            total = np.einsum("ij->i", raised)
+            if not (total.max() < MOST and total.min() > 1 / MOST):
+                raised, total, _ = _powers(x)
+            np.einsum("ij,i->ij", raised, 1 / total, out=out[part])
+    out.reshape(-1)[np.arange(size) * width + column] -= 1
+    return out, last
 
 
 class Powers(NamedTuple):
@@ -381,11 +388,16 @@ def _per_class(lexicon: Lexicon) -> int:
     return max(1, -(-frequent // HEADS))
 
 
-def _row_sums(row: np.ndarray, gradient: np.ndarray, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of a batch, most frequent first, and the sums of their gradients: long runs one by one, short ones side by side."""
+def _row_sums(row: np.ndarray, gradient: np.ndarray, space: Space | None = None, moved_to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a batch, most frequent first, and the sums of their gradients: long runs one by one, short ones side by side.
+
+    ``moved_to``: where the gradient of each token is, if not in the order of ``row``.
+    """
     space = space or Space()
     order = np.argsort(row.astype(np.uint16), kind="stable")  # short integers are sorted by radix; every table has fewer rows
     sorted_rows = row[order]
+    if moved_to is not None:
+        order = moved_to[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     size = np.diff(np.append(first, len(row)))
     by_size = np.argsort((len(row) - size).astype(np.uint16), kind="stable")
@@ -403,33 +415,50 @@ def _row_sums(row: np.ndarray, gradient: np.ndarray, space: Space | None = None)
     return sorted_rows[first], total
 
 
-def _descend(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray, space: Space) -> None:
-    """One step for the rows of a batch, each at its own rate."""
-    names, total = _row_sums(row, gradient, space)
+def _step(table: np.ndarray, seen: np.ndarray, names: np.ndarray, total: np.ndarray, weights: np.ndarray | None, space: Space) -> None:
+    """One step for distinct rows, each at its own rate; ``weights``: the rows, if they were read already."""
     sums = seen[names] + np.einsum("ij,ij->i", total, total) / total.shape[1]
     seen[names] = sums
     moved = np.einsum("ij,i->ij", total, -STEP / np.sqrt(sums + 1e-8), out=space("moved", *total.shape))
-    moved += space.take("term", table, names)
+    moved += space.take("term", table, names) if weights is None else weights
     table[names] = moved
 
 
-def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
-    per_class, space = _per_class(lexicon), Space()
+def _single_last(row: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the tokens in which those come last whose row no other token has, and how many others there are."""
+    single = np.bincount(row)[row] == 1
+    return np.append(np.flatnonzero(~single), np.flatnonzero(single)), len(row) - int(single.sum())
 
-    def learn(rows: dict[str, np.ndarray], bias: np.ndarray, column: np.ndarray) -> None:
-        gradient = _gradient([tables[name] for name in rows], list(rows.values()), bias, column, space)
-        for name, row in rows.items():
-            _descend(tables[name], seen[name], row, gradient, space)
 
+def _learn(tables: Tables, seen: Tables, rows: dict[str, np.ndarray], bias: np.ndarray, of: np.ndarray | None, column: np.ndarray, space: Space) -> None:
+    """One step for the rows of a batch; ``of``: each token's row of ``bias``, if it has several. In the last table, that with the most rows, most tokens have a row of their own:
+    its weights are at hand and its gradient is no sum, so neither is fetched again.
+    """
+    *before, last = rows
+    order, many = _single_last(rows[last])
+    moved_to = np.empty(len(order), np.int64)
+    moved_to[order] = np.arange(len(order))
+    moved = [row[order] for row in rows.values()]
+    gradient, weights = _gradient([tables[name] for name in rows], moved, bias if of is None else bias[of[order]], column[order], space)
+    for name in before:
+        _step(tables[name], seen[name], *_row_sums(rows[name], gradient, space, moved_to), None, space)
+    if many:
+        _step(tables[last], seen[last], *_row_sums(moved[-1][:many], gradient[:many], space), None, space)
+    if many < len(order):
+        _step(tables[last], seen[last], moved[-1][many:], gradient[many:], weights[many:], space)
+
+
+def train_stream(lexicon: Lexicon, tables: Tables, seen: Tables, s: Stream) -> None:
+    per_class, space = _per_class(lexicon), Space()
     for at in range(0, len(s.code), TOKENS):
         part = slice(at, min(at + TOKENS, len(s.code)))
         word, skip, group = s.word[part], s.skip[part], s.group[part]
-        learn({"word": word, "skip": skip, "pair": s.pair[part]}, lexicon.group_bias, group)
+        _learn(tables, seen, {"word": word, "skip": skip, "pair": s.pair[part]}, lexicon.group_bias, None, group, space)
         head = np.flatnonzero(group < HEADS)
         if len(head):
             group = group[head]
             rows = {"member_word": _member_rows(word[head], group), "member_skip": _member_rows(skip[head], group)}
-            learn(rows, lexicon.member_bias[group], s.code[part][head] % per_class)
+            _learn(tables, seen, rows, lexicon.member_bias, group, s.code[part][head] % per_class, space)
 
 
 def _packed(values: np.ndarray) -> bytes:
